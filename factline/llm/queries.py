@@ -1,0 +1,40 @@
+"""The registered query of every operator, over its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factline.llm import licenses, mixing, quality, secrets, sharding
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_shard, op6_license_scan, op7_mix_sources, op10_quality_rules)}
+ORACLES = {
+    "op1_secret_scan": secrets.oracle(),
+    "op6_license_scan": licenses.oracle(),
+    "op7_mix_sources": mixing.oracle(),
+    "op10_quality_rules": quality.oracle(),
+}
