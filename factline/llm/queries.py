@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factline.llm import licenses, mixing, quality, secrets, sharding
+from factline.llm import jaccard, licenses, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -31,9 +35,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_shard, op6_license_scan, op7_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op4_shard, op6_license_scan, op7_mix_sources, op10_quality_rules)}
 ORACLES = {
     "op1_secret_scan": secrets.oracle(),
+    "op2_jaccard_join": jaccard.oracle(),
     "op6_license_scan": licenses.oracle(),
     "op7_mix_sources": mixing.oracle(),
     "op10_quality_rules": quality.oracle(),
