@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factline.llm.common import fresh, own, pieces
 
@@ -50,7 +51,7 @@ def shard(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, i
     base = base.withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col), *keys))
     base = own(base, shard=F.pmod(F.col(h), F.lit(buckets)).cast("int"))
     inner = base.repartitionById(buckets, F.col("shard")).sortWithinPartitions("shard", h, F.col(id_col), F.col(text_col))
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("shard", "int", False).add("position", "long", False)
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("shard", T.IntegerType(), False).add("position", T.LongType(), False)
     names = [*kept, "shard", "position"]
 
     def shuffled(batches):
