@@ -117,14 +117,20 @@ def sets(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[new], row[new]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = 12 << 20) -> Iterator[pa.Table]:
-    """Batches joined until they hold about ``most`` bytes of ``column``; a
-    single row may hold more."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.Table]:
+    """The rows in tables of about ``most`` bytes of ``column``: batches are cut
+    and joined. A single row may hold more."""
     held, size = [], 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.column(column).nbytes
+        if not b.num_rows:
+            continue
+        each = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # Rows go together until the running total passes the next multiple.
+        part = (size + np.cumsum(each) - each) // most
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cut[:-1], cut[1:]):
+            held.append(b.slice(a, z - a))
+            size += int(each[a:z].sum())
             if size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
