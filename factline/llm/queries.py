@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factline.llm import jaccard, licenses, mixing, quality, secrets, sharding
+from factline.llm import jaccard, licenses, lm, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op4_shard, op6_license_scan, op7_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op4_shard, op6_license_scan, op7_mix_sources, op8_lm_score, op10_quality_rules)}
 ORACLES = {
     "op1_secret_scan": secrets.oracle(),
     "op2_jaccard_join": jaccard.oracle(),
