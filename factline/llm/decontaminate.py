@@ -68,7 +68,7 @@ def known_words(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str)
     schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "gaps", "at"))])
 
     def cut(batches):
-        # A table of 2^16 slots answers most words without a search.
+        # A table of 2^20 slots answers most words without a search.
         slot = np.zeros(1 << 20, bool)
         slot[(vocab >> np.uint64(44)).astype(np.int64)] = True
         for t in K.chunks(batches, "text"):
@@ -87,6 +87,8 @@ def known_words(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str)
             ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
             blobs = (K.planes(np.bincount(doc, minlength=t.num_rows).astype(np.int32)), K.planes(gap.astype(np.uint32)), K.planes(at.astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in blobs)], names=["ids", "sizes", "gaps", "at"])
+            del t, h, row, maybe, at, hit, doc, pos, gap, ids, blobs
+            K.trim()
 
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return stash(picked.mapInArrow(cut, schema), "known-words")

@@ -20,7 +20,7 @@ BLOCK = 1500
 #: Regions of so many documents or fewer are compared without pivots.
 LEAF = 128
 #: Keys that one owner counts in memory.
-OWNED = 8_000_000
+OWNED = 2_000_000
 
 
 def prefix_length(size: np.ndarray, least: float) -> np.ndarray:
@@ -122,6 +122,8 @@ def _requests(n: int, bits: int, own: int):
                     [pa.array([o for o, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([K.planes(np.diff(key[a:z], prepend=np.uint64(0))) for _, a, z in rows], pa.binary()), pa.array([K.planes(count[a:z].astype(np.uint32)) for _, a, z in rows], pa.binary())],
                     names=["owner", "chunk", "keys", "counts"],
                 )
+                del h, row, g, key, count
+                K.trim()
 
     return ask
 
@@ -141,6 +143,8 @@ def _answer(batches):
     cls = np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)[idx]
     out = np.split(cls, np.cumsum(size)[:-1])
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32()), t["chunk"].combine_chunks().cast(pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["owner", "chunk", "classes"])
+    del t, asked, count, idx, df, cls, out
+    K.trim()
 
 
 def _candidates(n: int, bits: int, least: float, id_type: pa.DataType):
@@ -175,6 +179,7 @@ def _candidates(n: int, bits: int, least: float, id_type: pa.DataType):
                 size.append(int(length[k]))
                 blob.append(g[a:z].tobytes())
                 keys.append(np.unique(short[a:z][order]).astype(np.int64))
+        K.trim()
         offsets = np.cumsum([0, *(len(x) for x in keys)])
         return pa.table(
             [pa.array([x.as_py() for x in ids], id_type), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(blob, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))],

@@ -7,6 +7,7 @@ UTF-8 buffer is cut and hashed at once, eight bytes a step.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,17 @@ _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. A Python worker outlives its
+    task and shares its executor's memory with others; what the allocator
+    keeps for later would count against them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = (x ^ (x >> _U(30))) * _B
@@ -182,6 +194,8 @@ def stash_tokens(docs, id_col: str, text_col: str, name: str):
                 names=["chunk", "ids", "sizes", "vocab", "at"],
             )
             k += 1
+            del t, h, row, vocab, at, ids, sizes
+            trim()
 
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return stash(picked.mapInArrow(cut, schema), name)
