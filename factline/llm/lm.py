@@ -18,7 +18,7 @@ HELD = 10
 BUCKETS = 24
 ROUNDS = 40
 #: Keys that one owner counts in memory.
-OWNED = 6_000_000
+OWNED = 1_500_000
 _START = np.uint64(0x5BF03635D1A7C9E1)
 
 
@@ -71,6 +71,8 @@ def _ask(own: int, shift: np.uint64):
                     [pa.array([o for o, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([K.planes(np.diff(key[a:z], prepend=np.uint64(0))) for _, a, z in rows], pa.binary()), pa.array([K.planes(np.concatenate([x[a:z] for x in each])) for _, a, z in rows], pa.binary())],
                     names=["owner", "chunk", "keys", "counts"],
                 )
+                del uni, i, c, bi, j, held, key, each, order
+                K.trim()
 
     return ask
 
@@ -95,6 +97,8 @@ def _answer(batches):
     # Counts fit 40 bits; their empty planes vanish in the codec.
     out = [K.planes(np.concatenate([x[a:z] for x in told])) for a, z in zip(cut[:-1], cut[1:])]
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32()), t["chunk"].combine_chunks().cast(pa.int64()), pa.array(out, pa.binary())], names=["owner", "chunk", "counts"])
+    del t, asked, count, told, out, known, idx
+    K.trim()
 
 
 def _told(left: pa.Table, right: pa.Table):
@@ -108,7 +112,10 @@ def _told(left: pa.Table, right: pa.Table):
     by = np.empty_like(got)
     by[:, order] = got
     u, b = by[:, : len(uni)], by[:, len(uni) :]
-    return u[:, i], u[:, c], b[:, j], held, row, n
+    got = u[:, i], u[:, c], b[:, j], held, row, n
+    del by, u, b, order
+    K.trim()
+    return got
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
