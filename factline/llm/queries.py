@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factline.llm import decontaminate, jaccard, licenses, lm, mixing, quality, secrets, sharding
+from factline.llm import decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_mixture(_table(spark, sf_dir, "documents"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op4_shard, op5_decontaminate, op6_license_scan, op7_mix_sources, op8_lm_score, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_language_mixture, op4_shard, op5_decontaminate, op6_license_scan, op7_mix_sources, op8_lm_score, op10_quality_rules)}
 ORACLES = {
     "op1_secret_scan": secrets.oracle(),
     "op2_jaccard_join": jaccard.oracle(),
