@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factline.llm import decontaminate, jaccard, langid, licenses, lm, mixing, quality, secrets, sharding
+from factline.llm import decontaminate, html, jaccard, langid, licenses, lm, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op9_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_language_mixture, op4_shard, op5_decontaminate, op6_license_scan, op7_mix_sources, op8_lm_score, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_language_mixture, op4_shard, op5_decontaminate, op6_license_scan, op7_mix_sources, op8_lm_score, op9_extract_html, op10_quality_rules)}
 ORACLES = {
     "op1_secret_scan": secrets.oracle(),
     "op2_jaccard_join": jaccard.oracle(),
