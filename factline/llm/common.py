@@ -59,3 +59,10 @@ def pieces(df: DataFrame, bytes_column: str | None = None, target: int = 32 << 2
     """How many partitions of about ``target`` bytes hold ``df``'s column."""
     total = df.agg(F.sum(F.octet_length(bytes_column)).alias("b")).first()["b"] or 0
     return max(least, -(-total // target))
+
+
+def small(written: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A table from :func:`stash`, marked for broadcast if its files hold
+    ``most`` bytes or fewer; a larger one joins by a shuffle."""
+    size = written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(written) if int(str(size)) <= most else written

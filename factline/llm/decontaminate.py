@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import pieces, stash
+from factline.llm.common import pieces, small, stash
 
 SEED = 53
 #: Dimensions of the latent space, and words of a passage that it is fitted on.
@@ -354,3 +354,12 @@ def _part(docs: DataFrame, b: DataFrame, id_col: str, text_col: str, schema: T.S
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), arrow)], names=names)
 
     return known.mapInArrow(found, schema)
+
+
+def remove_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+    """The input's rows without those whose text holds a benchmark item, as
+    :func:`decontaminate` finds it. It goes by text, so null and repeated ids don't matter."""
+    key = F.md5(F.col(f"`{text_col}`").cast("string"))
+    found = decontaminate(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), bench, "key", "text")
+    leaks = stash(found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(small(leaks), key == F.col("__leak"), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import stash
+from factline.llm.common import small, stash
 
 N = 5
 #: Two documents join at this Jaccard similarity of their n-gram sets.
@@ -112,8 +112,9 @@ def _requests(n: int, bits: int, own: int):
 
     def ask(batches):
         for b in batches:
-            for chunk, sizes, vocab, at in zip(*(b[c].to_pylist() for c in ("chunk", "sizes", "vocab", "at"))):
-                h, row, _ = K.opened(sizes, vocab, at)
+            for r in range(b.num_rows):
+                chunk = b["chunk"][r].as_py()
+                h, row, _ = K.opened(*(b[c][r].as_py() for c in ("sizes", "vocab", "at")))
                 g, _ = K.sets(*K.ngrams(h, row, n))
                 key, count = np.unique(g >> np.uint64(64 - bits), return_counts=True)
                 cut = np.searchsorted(key, np.arange(own + 1, dtype=np.uint64) << np.uint64(bits - own.bit_length() + 1)) if own > 1 else np.array([0, len(key)])
@@ -293,9 +294,9 @@ def jaccard_join(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str
 
 
 def groups(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``keeper`` of every document that joins another, directly or
-    by a chain: the keeper is the least id of its group. Null ids, wordless texts and documents without
-    partners are not listed."""
+    """``id`` and ``keeper`` of every document that may have a partner: the
+    keeper is the least id of all that it joins, directly or by a chain, or its own.
+    Null ids, wordless texts and documents that can't have partners are not listed."""
     member, edges = _solved(docs, n, least, id_col, text_col, True)
     # Nodes take the least label of their neighbours until none changes.
     links = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "jaccard-links")
@@ -304,13 +305,26 @@ def groups(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str = "doc
         other = label.select(F.col("node").alias("b"), F.col("label").alias("theirs"))
         least_of = links.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         new = label.join(least_of, "node", "left").select("node", F.least("label", "theirs").alias("label"), (F.col("theirs") < F.col("label")).alias("moved"))
-        # Labels are ids, so a label's own label shortens chains.
         new = stash(new, "jaccard-labels")
         label = new.select("node", "label")
         if new.filter("moved").isEmpty():
             break
-    all_ = member.join(label, "node").groupBy("id").agg(F.min("label").alias("keeper"))
-    return all_
+    return member.join(label, "node").groupBy("id").agg(F.min("label").alias("keeper"))
+
+
+def deduplicate(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, one document of each group of :func:`groups`: that of
+    the least id. A row that repeats a kept one in id and text goes as well. Rows of a null id and
+    wordless texts stay."""
+    found = stash(groups(docs, n, least, id_col, text_col), "jaccard-groups")
+    gone = stash(found.filter("keeper <> id").select(F.col("id").alias("__gone")), "jaccard-gone")
+    kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    # Repeated rows are rare: only rows of ids that occur twice are compared.
+    twice = stash(kept.groupBy(F.col(f"`{id_col}`").alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1 AND __twice IS NOT NULL").select("__twice"), "jaccard-twice")
+    if twice.isEmpty():
+        return kept
+    at = F.col(f"`{id_col}`") == F.col("__twice")
+    return kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def oracle(n: int = N, least: float = LEAST) -> str:
