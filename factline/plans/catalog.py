@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["factline.plans.facts"]
+MODULES = ["factline.plans.facts", "factline.plans.observations", "factline.plans.relational"]
 
 
 def load() -> None:
