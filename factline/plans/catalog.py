@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["factline.plans.facts", "factline.plans.observations", "factline.plans.relational"]
+MODULES = [f"factline.plans.{m}" for m in ("facts", "observations", "relational", "sequences")]
 
 
 def load() -> None:
