@@ -31,91 +31,98 @@ def held_out(sizes: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return K.mix(sign) % np.uint64(HELD) == 0
 
 
-def pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context of each word (the word before it, or the start) and the
-    hash of context and word."""
-    before = np.r_[_START, h[:-1]] if len(h) else h
-    if len(h):
-        before[np.flatnonzero(np.r_[True, row[1:] != row[:-1]])] = _START
-    return before, K.mix(K.mix(before) + h)
-
-
 def _keys(sizes, vocab, at):
-    """A chunk's distinct words and contexts, its distinct bigrams (low bit 1;
-    words have 0), each word's place among them, and the held-out words."""
-    h, row, n = K.opened(sizes, vocab, at)
-    before, two = pairs(h, row)
+    """A chunk's distinct words and the start (hashes of low bit 0), its distinct bigrams
+    (low bit 1), the places among them of each word, its context (the word before it, or the
+    start) and their bigram, and all documents' sizes."""
+    v, a, n = np.frombuffer(vocab, np.uint64), K.unplanes(at, np.uint32), K.unplanes(sizes, np.int32)
     one = np.uint64(1)
-    uni, i = np.unique(np.r_[h, before] & ~one, return_inverse=True)
-    bi, j = np.unique(two | one, return_inverse=True)
-    return uni, i[: len(h)], i[len(h) :], bi, j, held_out(n, h, row)[row] if len(h) else np.zeros(0, bool), row, n
+    both = np.r_[v, _START]
+    uni, place = np.unique(both & ~one, return_inverse=True)
+    before = np.empty(len(a), np.uint32)
+    before[1:] = a[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = len(v)
+    bi, j = np.unique(K.mix(K.mix(both)[before] + v[a]) | one, return_inverse=True)
+    return uni, place[a], place[before], bi, j, n
+
+
+def _by_owner(uni: np.ndarray, bi: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts both kinds of keys together by owner, and the owners in it."""
+    owner = (np.r_[uni, bi] >> shift).astype(np.uint32)
+    if len(owner) and int(owner.max()) < 1 << 16:
+        owner = owner.astype(np.uint16)
+    order = np.argsort(owner, kind="stable")
+    return order, owner[order].astype(np.int64)
 
 
 def _ask(own: int, shift: np.uint64):
     """Per owner: the chunk's keys, and how often each occurs as a word (or
-    bigram), as a context and, of these, in held-out documents."""
+    bigram) and as a context."""
 
     def ask(batches):
         for b in batches:
-            for chunk, sizes, vocab, at in zip(*(b[c].to_pylist() for c in ("chunk", "sizes", "vocab", "at"))):
-                uni, i, c, bi, j, held, _, _ = _keys(sizes, vocab, at)
-                key = np.r_[uni, bi]
+            for r in range(b.num_rows):
+                uni, i, c, bi, j, _ = _keys(*(b[x][r].as_py() for x in ("sizes", "vocab", "at")))
                 nu = len(uni)
-                count = lambda k, m, w=None: np.bincount(k, weights=w, minlength=m).astype(np.uint32)
-                each = [np.r_[count(i, nu), count(j, len(bi))], np.r_[count(c, nu), np.zeros(len(bi), np.uint32)], np.r_[count(i, nu, held), count(j, len(bi), held)], np.r_[count(c, nu, held), np.zeros(len(bi), np.uint32)]]
-                order = np.argsort(key)
-                key, each = key[order], [x[order] for x in each]
-                cut = np.searchsorted(key, np.arange(own, dtype=np.uint64) << shift).tolist() + [len(key)] if own > 1 else [0, len(key)]
+                count = lambda k, m: np.bincount(k, minlength=m).astype(np.uint32)
+                each = [np.r_[count(i, nu), count(j, len(bi))], np.r_[count(c, nu), np.zeros(len(bi), np.uint32)]]
+                order, owner = _by_owner(uni, bi, shift)
+                key, each = np.r_[uni, bi][order], [x[order] for x in each]
+                cut = np.searchsorted(owner, np.arange(own + 1))
                 rows = [(o, a, z) for o, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o for o, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([K.planes(np.diff(key[a:z], prepend=np.uint64(0))) for _, a, z in rows], pa.binary()), pa.array([K.planes(np.concatenate([x[a:z] for x in each])) for _, a, z in rows], pa.binary())],
+                    [pa.array([o for o, _, _ in rows], pa.int32()), pa.array([b["chunk"][r].as_py()] * len(rows), pa.int64()), pa.array([K.planes(np.diff(key[a:z], prepend=np.uint64(0))) for _, a, z in rows], pa.binary()), pa.array([K.planes(np.concatenate([x[a:z] for x in each])) for _, a, z in rows], pa.binary())],
                     names=["owner", "chunk", "keys", "counts"],
                 )
-                del uni, i, c, bi, j, held, key, each, order
+                del uni, i, c, bi, j, key, each, order, owner
                 K.trim()
 
     return ask
 
 
 def _answer(batches):
-    """The same rows with the corpus's counts in place of the chunk's, and how many words the owner knows."""
+    """The same rows with the corpus's counts in place of the chunk's (for chunks of held-out
+    documents, also the counts in held-out ones), and how many words the owner knows."""
     t = [b for b in batches if b.num_rows]
     if not t:
         return
     t = pa.Table.from_batches(t)
     asked = [np.cumsum(K.unplanes(x, np.uint64)) for x in t["keys"].to_pylist()]
     size = [len(x) for x in asked]
+    odd = t["chunk"].to_numpy() % 2 == 1
+    held = np.repeat(odd, size)
     known, idx = np.unique(np.concatenate(asked), return_inverse=True)
+    del asked
     told = []
-    count = [K.unplanes(x, np.uint32).reshape(4, -1) for x in t["counts"].to_pylist()]
-    for k in range(4):
-        told.append(np.bincount(idx, weights=np.concatenate([x[k] for x in count])).astype(np.uint64)[idx])
-    cut = np.r_[0, np.cumsum(size)]
-    # One more row for the owner's distinct words; a bare context, the start, is none.
-    n_known = int(((np.bincount(idx, weights=np.concatenate([x[0] for x in count])) > 0) & (known & np.uint64(1) == 0)).sum())
+    count = [K.unplanes(x, np.uint32).reshape(2, -1) for x in t["counts"].to_pylist()]
+    for k in range(2):
+        each = np.concatenate([x[k] for x in count])
+        told.append(np.bincount(idx, weights=each).astype(np.uint64))
+        told.append(np.bincount(idx[held], weights=each[held], minlength=len(known)).astype(np.uint64))
+    # One more row for the owner's distinct words; the start alone is none.
+    n_known = int(((told[0] > 0) & (known & np.uint64(1) == 0)).sum())
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32())[:1], pa.array([-1], pa.int64()), pa.array([str(n_known).encode()], pa.binary())], names=["owner", "chunk", "counts"])
-    # Counts fit 40 bits; their empty planes vanish in the codec.
-    out = [K.planes(np.concatenate([x[a:z] for x in told])) for a, z in zip(cut[:-1], cut[1:])]
+    cut = np.r_[0, np.cumsum(size)]
+    # Small numbers: their empty planes vanish in the codec.
+    out = [K.planes(np.concatenate([x[idx[a:z]] for x in (told if o else told[::2])])) for o, a, z in zip(odd, cut[:-1], cut[1:])]
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32()), t["chunk"].combine_chunks().cast(pa.int64()), pa.array(out, pa.binary())], names=["owner", "chunk", "counts"])
-    del t, asked, count, told, out, known, idx
+    del t, count, told, out, known, idx, held
     K.trim()
 
 
-def _told(left: pa.Table, right: pa.Table):
-    """Per word of a chunk: counts of it, its context, its bigram (all, held-out)."""
+def _told(left: pa.Table, right: pa.Table, shift: np.uint64):
+    """Counts of a chunk's words and bigrams (as such, and as contexts; for an odd chunk each
+    followed by that in held-out documents), and the places of each word, its context and bigram."""
     right = right.sort_by("owner")
-    got = np.concatenate([K.unplanes(x, np.uint64).reshape(4, -1) for x in right["counts"].to_pylist()] or [np.zeros((4, 0), np.uint64)], axis=1).astype(np.float64)
-    uni, i, c, bi, j, held, row, n = _keys(left["sizes"][0].as_py(), left["vocab"][0].as_py(), left["at"][0].as_py())
-    order = np.argsort(np.r_[uni, bi])
-    if got.shape[1] != len(order):
+    n_counts = 4 if left["chunk"][0].as_py() % 2 else 2
+    got = np.concatenate([K.unplanes(x, np.uint64).reshape(n_counts, -1) for x in right["counts"].to_pylist()] or [np.zeros((n_counts, 0), np.uint64)], axis=1)
+    uni, i, c, bi, j, n = _keys(left["sizes"][0].as_py(), left["vocab"][0].as_py(), left["at"][0].as_py())
+    order, _ = _by_owner(uni, bi, shift)
+    if len(i) and got.shape[1] != len(order):
         raise ValueError("an answer is missing")
-    by = np.empty_like(got)
-    by[:, order] = got
-    u, b = by[:, : len(uni)], by[:, len(uni) :]
-    got = u[:, i], u[:, c], b[:, j], held, row, n
-    del by, u, b, order
-    K.trim()
-    return got
+    by = np.zeros((n_counts, len(order)))
+    by[:, order[: got.shape[1]]] = got
+    return by[:, : len(uni)], by[:, len(uni) :], i, c, j, n
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -156,40 +163,40 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ignored. Counts are asked for by chunk and told by hash ranges, so memory
     is bounded by ``OWNED`` keys and a chunk's words, however large the corpus.
     """
-    tok = K.stash_tokens(docs, id_col, text_col, "lm-tokens")
+    tok = K.stash_tokens(docs, id_col, text_col, "lm-tokens", held_out)
     total = (tok.agg(F.sum(F.octet_length("at"))).first()[0] or 0) // 4
     own = 1 << max(2, int(total // OWNED).bit_length())
     shift = np.uint64(64 - (own.bit_length() - 1))
     asked = tok.select("chunk", "sizes", "vocab", "at").mapInArrow(_ask(own, shift), "owner int, chunk long, keys binary, counts binary")
     told = stash(asked.repartitionById(own, F.col("owner")).mapInArrow(_answer, "owner int, chunk long, counts binary"), "lm-counts")
-    both = tok.groupBy("chunk").cogroup(told.filter("chunk >= 0").groupBy("chunk"))
+    both = lambda where: tok.filter(where).groupBy("chunk").cogroup(told.filter(where).groupBy("chunk"))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _CELLS.empty_table()
-        w, c, b, held, _, _ = _told(left, right)
-        w, c, b = w[:, held], c[:, held], b[:, held]
-        context = c[1] - c[3]
-        word, two = w[0] - w[2], b[0] - b[2]
-        k = bucket(context)
-        # Words of the same three counts are one cell; logarithmic steps of 1/16 beyond small counts.
-        step = lambda x: np.where(x < 32, x, np.round(16 * np.log2(np.maximum(x, 1))) + 1000)
-        key = np.stack([k, step(context), step(word), step(two)], 1)
-        _, first, inv, n = np.unique(key, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        inv = inv.ravel()
-        mean = lambda x: np.bincount(inv, weights=x) / n if len(n) else x
-        return pa.table([pa.array(key[first, m].astype(np.int32)) for m in range(4)] + [pa.array(mean(x) * n) for x in (context, word, two)] + [pa.array(n.astype(np.int64))], schema=_CELLS)
-
-    cells = both.applyInArrow(gather, "bucket int, kc int, kw int, kt int, context double, word double, two double, n long")
+        u, b, i, c, j, _ = _told(left, right, shift)
+        context = u[2][c] - u[3][c]
+        word, two = u[0][i] - u[1][i], b[0][j] - b[1][j]
+        # Words of the same three counts are one cell; logarithmic steps of 1/8 beyond small counts.
+        step = lambda x: np.where(x < 16, x, np.round(8 * np.log2(np.maximum(x, 1))) + 1000).astype(np.int64)
+        key = ((bucket(context) << 11 | step(context)) << 11 | step(word)) << 11 | step(two)
+        key, inv, n = np.unique(key, return_inverse=True, return_counts=True)
+        total = [np.bincount(inv, weights=x, minlength=len(n)) for x in (context, word, two)]
+        del u, b, i, c, j, inv, context, word, two
+        K.trim()
+        return pa.table([pa.array(key), *map(pa.array, total), pa.array(n.astype(np.int64))], schema=_CELLS)
+
+    # Held-out documents only: their chunks are the odd ones.
+    cells = both("chunk >= 0 AND chunk % 2 = 1").applyInArrow(gather, "cell long, context double, word double, two double, n long")
     # As many rows as there are kinds of counts, not words: it grows with the logarithm of the corpus.
-    cells = cells.groupBy("bucket", "kc", "kw", "kt").agg(*(F.sum(c).alias(c) for c in ("context", "word", "two", "n"))).toPandas()
+    cells = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("context", "word", "two", "n"))).toArrow()
     n_words = max(int(total), 1)
     uniform = 1.0 / (1 + (told.filter("chunk < 0").agg(F.sum(F.expr("cast(decode(counts, 'utf-8') as bigint)"))).first()[0] or 0))
-    if len(cells):
-        n = cells["n"].to_numpy(float)
-        context, word, two = (cells[c].to_numpy(float) / n for c in ("context", "word", "two"))
+    if cells.num_rows:
+        n = cells["n"].to_numpy().astype(float)
+        context, word, two = (cells[c].to_numpy() / n for c in ("context", "word", "two"))
         p2 = np.divide(two, context, out=np.zeros(len(n)), where=context > 0)
-        lam = weights(np.stack([cells["bucket"].to_numpy(float), np.minimum(p2, 1), word / n_words, np.full(len(n), uniform), n], 1))
+        lam = weights(np.stack([(cells["cell"].to_numpy() >> 33).astype(float), np.minimum(p2, 1), word / n_words, np.full(len(n), uniform), n], 1))
     else:
         lam = weights(np.zeros((0, 5)))
 
@@ -199,9 +206,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     arrow_id = to_arrow_type(id_type)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, c, b, _, row, sizes = _told(left, right)
-        mix = lam[bucket(c[1])]
-        p = mix[:, 0] * b[0] / np.maximum(c[1], 1) + mix[:, 1] * w[0] / n_words + mix[:, 2] * uniform
+        u, b, i, c, j, sizes = _told(left, right, shift)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        context = u[len(u) // 2][c]
+        k = bucket(context)
+        p = lam[k, 0] * b[0][j] / np.maximum(context, 1) + lam[k, 1] * u[0][i] / n_words + lam[k, 2] * uniform
+        del u, b, i, c, j, k, context
+        K.trim()
         mean = np.bincount(row, weights=np.log(p), minlength=len(sizes)) / np.maximum(sizes, 1)
         none = sizes == 0
         ids = left["ids"].combine_chunks()
@@ -209,7 +220,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.table([ids.flatten().cast(arrow_id), pa.array(sizes.astype(np.int64)), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_words", "log_prob", "perplexity"])
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
-    return both.applyInArrow(score, schema)
+    return both("chunk >= 0").applyInArrow(score, schema)
 
 
-_CELLS = pa.schema([(c, pa.int32()) for c in ("bucket", "kc", "kw", "kt")] + [(c, pa.float64()) for c in ("context", "word", "two")] + [("n", pa.int64())])
+_CELLS = pa.schema([("cell", pa.int64()), *((c, pa.float64()) for c in ("context", "word", "two")), ("n", pa.int64())])

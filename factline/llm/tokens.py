@@ -129,7 +129,7 @@ def sets(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[new], row[new]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.Table]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.Table]:
     """The rows in tables of about ``most`` bytes of ``column``: batches are cut
     and joined. A single row may hold more."""
     held, size = [], 0
@@ -162,14 +162,15 @@ def unplanes(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def stash_tokens(docs, id_col: str, text_col: str, name: str):
+def stash_tokens(docs, id_col: str, text_col: str, name: str, split=None):
     """A table in the shared folder with a row per chunk of documents: its
     number, ``ids``, words per document (``sizes``), the chunk's distinct word
     hashes (``vocab``) and each word's place among them (``at``).
 
     It is several times smaller than the texts, is read again instead of
     them, and fixes which documents make up a chunk, so that counts asked for
-    by a chunk come back to the same documents.
+    by a chunk come back to the same documents. ``split`` (of sizes, word hashes and
+    their rows) marks documents that go into chunks of their own, of odd numbers.
     """
     from pyspark import TaskContext
     from pyspark.sql import functions as F
@@ -180,21 +181,31 @@ def stash_tokens(docs, id_col: str, text_col: str, name: str):
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "vocab", "at"))])
 
+    def packed(chunk, ids, sizes, h):
+        vocab, at = np.unique(h, return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in (planes(sizes), vocab.tobytes(), planes(at.astype(np.uint32))))],
+            names=["chunk", "ids", "sizes", "vocab", "at"],
+        )
+
     def cut(batches):
-        base, k = TaskContext.get().partitionId() << 32, 0
+        chunk = TaskContext.get().partitionId() << 32
         for t in chunks(batches, "text"):
             h, row = words(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"])
-            vocab, at = np.unique(h, return_inverse=True)
             ids = t["id"].combine_chunks() if isinstance(t["id"], pa.ChunkedArray) else t["id"]
             if isinstance(ids, pa.ChunkedArray):
                 ids = pa.concat_arrays(ids.chunks)
             sizes = np.bincount(row, minlength=t.num_rows).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + k]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in (planes(sizes), vocab.tobytes(), planes(at.astype(np.uint32))))],
-                names=["chunk", "ids", "sizes", "vocab", "at"],
-            )
-            k += 1
-            del t, h, row, vocab, at, ids, sizes
+            if split is None:
+                yield packed(chunk, ids, sizes, h)
+            else:
+                mark = split(sizes, h, row)
+                for odd in (False, True):
+                    mine = mark == odd
+                    if mine.any():
+                        yield packed(chunk + odd, ids.filter(pa.array(mine)), sizes[mine], h[mine[row]])
+            chunk += 2
+            del t, h, row, ids, sizes
             trim()
 
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
         assert r["n_words"] == n
         assert (r["log_prob"] is None) == (lp is None)
         if lp is not None:
-            assert r["log_prob"] == pytest.approx(lp, abs=1e-4)  # held-out counts of 32 and more are averaged in steps of 1/16 of a doubling
+            assert r["log_prob"] == pytest.approx(lp, abs=1e-4)  # held-out counts of 16 and more are averaged in steps of 1/8 of a doubling
             assert r["perplexity"] == pytest.approx(math.exp(-lp), rel=1e-4)
 
 
