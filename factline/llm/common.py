@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -29,16 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
     survives lost executors, and gives the planner true sizes, so that it
-    broadcasts a table only when the file is below its threshold."""
+    broadcasts a table only when the file is below its threshold. With ``keep`` it
+    outlives the innermost :func:`scratch`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stashed inside are deleted at its end: nothing that is
+    still to be computed may read them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, such that no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

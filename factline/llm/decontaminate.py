@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import pieces, small, stash
+from factline.llm.common import pieces, scratch, small, stash
 
 SEED = 53
 #: Dimensions of the latent space, and words of a passage that it is fitted on.
@@ -212,8 +212,9 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def verdict(item: np.ndarray, answer: np.ndarray, rare: np.ndarray, seen: np.ndarray) -> tuple[float, float] | None:
-    """Shares of an item's and its answer's words that ``seen`` has in order,
-    if they make a leak."""
+    """Shares of an item's and its answer's words that ``seen`` has in order, if
+    they make a leak: ``LCS`` of the item, ``RARE`` of its words that have weight, and ``ANSWER`` of the
+    answer (or ``SURE`` of the item)."""
     s = seen.tolist()
     share = lcs(item.tolist(), s) / len(item)
     if share < LCS:
@@ -360,6 +361,7 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> D
     """The input's rows without those whose text holds a benchmark item, as
     :func:`decontaminate` finds it. It goes by text, so null and repeated ids don't matter."""
     key = F.md5(F.col(f"`{text_col}`").cast("string"))
-    found = decontaminate(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), bench, "key", "text")
-    leaks = stash(found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    with scratch(docs.sparkSession):
+        found = decontaminate(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), bench, "key", "text")
+        leaks = stash(found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct(), "leaks", keep=True)
     return docs.join(small(leaks), key == F.col("__leak"), "left_anti")

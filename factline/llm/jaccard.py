@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import small, stash
+from factline.llm.common import scratch, small, stash
 
 N = 5
 #: Two documents join at this Jaccard similarity of their n-gram sets.
@@ -231,10 +231,8 @@ def _join_regions(least: float, forest: bool):
     return run
 
 
-def _solved(docs: DataFrame, n: int, least: float, id_col: str, text_col: str, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of documents that may have partners, and (a, b, jaccard) of
-    joined nodes, a node being a distinct n-gram set; ``forest`` gives only
-    edges that connect what joins."""
+def _found(docs: DataFrame, n: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Documents that may have partners: id, node, size, n-grams and first keys."""
     tok = K.stash_tokens(docs, id_col, text_col, "jaccard-tokens")
     total = tok.agg(F.sum(F.octet_length("at"))).first()[0] or 0
     total //= 4
@@ -248,7 +246,15 @@ def _solved(docs: DataFrame, n: int, least: float, id_col: str, text_col: str, f
     from pyspark.sql.pandas.types import to_arrow_type
 
     found = tok.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_candidates(n, bits, least, to_arrow_type(id_type)), schema)
-    found = stash(found, "jaccard-candidates")
+    return stash(found, "jaccard-candidates", keep=True)
+
+
+def _solved(docs: DataFrame, n: int, least: float, id_col: str, text_col: str, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of documents that may have partners, and (a, b, jaccard) of
+    joined nodes, a node being a distinct n-gram set; ``forest`` gives only
+    edges that connect what joins."""
+    with scratch(docs.sparkSession):
+        found = _found(docs, n, least, id_col, text_col)
     postings = found.select("node", F.explode("keys").alias("key")).distinct()
     from pyspark.sql import Window as W
 
@@ -316,8 +322,9 @@ def deduplicate(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str =
     """The input's rows, one document of each group of :func:`groups`: that of
     the least id. A row that repeats a kept one in id and text goes as well. Rows of a null id and
     wordless texts stay."""
-    found = stash(groups(docs, n, least, id_col, text_col), "jaccard-groups")
-    gone = stash(found.filter("keeper <> id").select(F.col("id").alias("__gone")), "jaccard-gone")
+    with scratch(docs.sparkSession):
+        found = groups(docs, n, least, id_col, text_col)
+        gone = stash(found.filter("keeper <> id").select(F.col("id").alias("__gone")), "jaccard-gone", keep=True)
     kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
     # Repeated rows are rare: only rows of ids that occur twice are compared.
     twice = stash(kept.groupBy(F.col(f"`{id_col}`").alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1 AND __twice IS NOT NULL").select("__twice"), "jaccard-twice")
