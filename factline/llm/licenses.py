@@ -114,8 +114,8 @@ def oracle() -> str:
     return f"""
 WITH known(sentence, ident) AS (VALUES {known}), rules(rule, license, n_sentences, pattern) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-s AS (SELECT rid, doc_id, unnest(regexp_split_to_array(text, {q(BREAK)})) AS sentence, generate_subscripts(regexp_split_to_array(text, {q(BREAK)}), 1) AS at FROM d WHERE text IS NOT NULL),
-i AS (SELECT rid, doc_id, string_agg(ident, ' ' ORDER BY at) AS identifiers
+s AS (SELECT rid, doc_id, unnest(regexp_split_to_array(text, {q(BREAK)})) AS sentence, generate_subscripts(regexp_split_to_array(text, {q(BREAK)}), 1) AS pos FROM d WHERE text IS NOT NULL),
+i AS (SELECT rid, doc_id, string_agg(ident, ' ' ORDER BY pos) AS identifiers
       FROM s JOIN known ON known.sentence = trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g')) GROUP BY rid, doc_id)
 SELECT doc_id, rule, license, n_sentences::INT AS n_sentences, identifiers FROM i, rules
 WHERE regexp_matches(' ' || replace(identifiers, ' ', '  ') || ' ', pattern)"""
