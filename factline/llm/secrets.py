@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factline.llm.common import stash
+
 #: (rule, expression). Java's and RE2's common ground; no look-around.
 FORMATS: tuple[tuple[str, str], ...] = (
     ("aws_access_key", "(?:AKIA|ASIA)[0-9A-Z]{16}"),
@@ -66,7 +68,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     c = candidates(docs, id_col, text_col, repo_col, owner)
     per_doc = c.groupBy("secret_hash", "rule", "made_up", "doc_id", "repo", "owner").agg(F.count("*").alias("k"))
-    return _verdicts(per_doc, widely)
+    # Written, so that texts are scanned once for both uses.
+    return _verdicts(stash(per_doc, "secrets"), widely)
 
 
 def _verdicts(per_doc: DataFrame, widely: int) -> DataFrame:
