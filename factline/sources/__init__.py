@@ -1 +1 @@
-
+"""Sources: files, git, JSON and markdown."""
