@@ -183,11 +183,11 @@ def union_streams(spark, sf_dir):
     return a.unionByName(b).unionByName(c).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("route_xref", "SELECT c_custkey AS key, 'no_orders' AS gap FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION SELECT o_custkey, 'no_customer' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
+@query("route_xref", "SELECT c_custkey AS key, 'no_orders' AS gap FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) UNION SELECT o_custkey, 'no_customer' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def route_xref(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    a = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").alias("key"), F.lit("no_orders").alias("gap"))
-    b = o.join(c, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("o_custkey").alias("key"), F.lit("no_customer").alias("gap"))
+    a = c.join(o.filter("o_totalprice > 300000"), c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").alias("key"), F.lit("no_orders").alias("gap"))
+    b = o.join(c.filter("c_acctbal > 0"), c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("o_custkey").alias("key"), F.lit("no_customer").alias("gap"))
     return a.union(b).distinct()
 
 
