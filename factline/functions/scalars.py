@@ -147,7 +147,7 @@ def setter_mirrors(setter: Column, value: Column, prefixes: Sequence[str] = ("in
 
 
 def bytes_text(n: Column) -> Column:
-    one = lambda unit, size: F.concat(F.format_string("%.1f", n / F.lit(float(size))), F.lit(f" {unit}"))
+    one = lambda unit, size: F.concat(F.format_string("%.1f", round_half_up(n / F.lit(float(size)), 1)), F.lit(f" {unit}"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, one("KB", 1 << 10)).otherwise(one("MB", 1 << 20))
 
 

@@ -62,9 +62,9 @@ def rule_cascade(spark, sf_dir):
     return out.select("c_custkey", "kind", "confidence", F.size("matched").alias("n_matched"))
 
 
-@query("near_boundary", "SELECT p_partkey, len(list_filter([1000.0::DOUBLE, 1500.0::DOUBLE], lambda t: abs(p_retailprice - t) / t <= 0.2::DOUBLE)) > 0 AS near FROM part")
+@query("near_boundary", "SELECT p_partkey, len(list_filter([790.0::DOUBLE, 1200.0::DOUBLE], lambda t: abs(p_retailprice - t) / t <= 0.2::DOUBLE)) > 0 AS near FROM part")
 def near_boundary(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", S.near_boundary(F.col("p_retailprice"), [1000.0, 1500.0, 0.0]).alias("near"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.near_boundary(F.col("p_retailprice"), [790.0, 1200.0, 0.0]).alias("near"))
 
 
 @query(

@@ -123,11 +123,11 @@ def overlap_pairs(spark, sf_dir):
     return x.select("item_id", "doc_id", (F.col("k") / F.greatest("nb", "nd")).alias("overlap")).filter("overlap >= 0.2D")
 
 
-_HALVES = "WITH b AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 0 AND event_type IN ('purchase', 'signup')), a AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 1 AND event_type IN ('purchase', 'signup'))"
+_HALVES = "WITH b AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 0), a AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 1)"
 
 
 def _halves(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type IN ('purchase', 'signup')")
+    e = table(spark, sf_dir, "events")
     b = e.filter("event_id % 2 = 0").select("user_id", "event_type", F.col("event_id").alias("b"), F.col("value").alias("vb"))
     a = e.filter("event_id % 2 = 1").select("user_id", "event_type", F.col("event_id").alias("a"), F.col("value").alias("va"))
     return b, a
@@ -215,12 +215,12 @@ def directory_stats(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), long.alias("long"), S.round_half_up(F.lit(100.0) * long / F.count("*")).cast("long").alias("percent"))
 
 
-@query("dead_exports", "WITH e AS (SELECT DISTINCT p_brand AS file, p_type AS name FROM part), u AS (SELECT DISTINCT p_brand AS dst, CASE WHEN p_size = 1 THEN '*' WHEN p_size = 2 THEN concat('* as ', p_type) ELSE p_type END AS name FROM part WHERE p_partkey % 3 = 0) SELECT file, name FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE dst = file AND (u.name = e.name OR u.name = '*' OR u.name = concat('* as ', e.name)))")
+@query("dead_exports", "WITH e AS (SELECT DISTINCT p_brand AS file, p_type AS name FROM part), u AS (SELECT DISTINCT p_brand AS dst, CASE WHEN p_size = 1 THEN '*' WHEN p_size = 2 THEN concat('* as ', p_type) ELSE p_type END AS name FROM part WHERE p_retailprice < 905) SELECT file, name FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE dst = file AND (u.name = e.name OR u.name = '*' OR u.name = concat('* as ', e.name)))")
 def dead_exports(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     e = p.select(F.col("p_brand").alias("file"), F.col("p_type").alias("name")).distinct()
     used = F.when(F.col("p_size") == 1, "*").when(F.col("p_size") == 2, F.concat(F.lit("* as "), "p_type")).otherwise(F.col("p_type"))
-    u = p.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("dst"), used.alias("name")).distinct()
+    u = p.filter("p_retailprice < 905").select(F.col("p_brand").alias("dst"), used.alias("name")).distinct()
     return graph.used_exports(e, u)
 
 
