@@ -132,10 +132,12 @@ def _requests(n: int, bits: int, own: int):
 def _answer(batches):
     """For each request, the class of every key's document count: 0 for one
     document in all, then 8 to a doubling."""
-    t = [b for b in batches if b.num_rows]
-    if not t:
-        return
-    t = pa.Table.from_batches(t)
+    for t in K.each_owner(batches):
+        yield from _told_by(t)
+        K.trim()
+
+
+def _told_by(t: pa.Table):
     asked = [np.cumsum(K.unplanes(x, np.uint64)) for x in t["keys"].to_pylist()]
     count = np.concatenate([K.unplanes(x, np.uint32) for x in t["counts"].to_pylist()])
     size = [len(x) for x in asked]
@@ -144,8 +146,6 @@ def _answer(batches):
     cls = np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)[idx]
     out = np.split(cls, np.cumsum(size)[:-1])
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32()), t["chunk"].combine_chunks().cast(pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["owner", "chunk", "classes"])
-    del t, asked, count, idx, df, cls, out
-    K.trim()
 
 
 def _candidates(n: int, bits: int, least: float, id_type: pa.DataType):
@@ -240,7 +240,7 @@ def _found(docs: DataFrame, n: int, least: float, id_col: str, text_col: str) ->
     bits = min(63, max(24, int(total).bit_length() + 9))
     own = 1 << max(2, int(total // OWNED).bit_length())
     asked = tok.select("chunk", "sizes", "vocab", "at").mapInArrow(_requests(n, bits, own), "owner int, chunk long, keys binary, counts binary")
-    told = asked.repartitionById(own, F.col("owner")).mapInArrow(_answer, "owner int, chunk long, classes binary")
+    told = K.to_owners(asked, own).mapInArrow(_answer, "owner int, chunk long, classes binary")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     from pyspark.sql.pandas.types import to_arrow_type

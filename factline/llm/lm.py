@@ -83,10 +83,12 @@ def _ask(own: int, shift: np.uint64):
 def _answer(batches):
     """The same rows with the corpus's counts in place of the chunk's (for chunks of held-out
     documents, also the counts in held-out ones), and how many words the owner knows."""
-    t = [b for b in batches if b.num_rows]
-    if not t:
-        return
-    t = pa.Table.from_batches(t)
+    for t in K.each_owner(batches):
+        yield from _told_by(t)
+        K.trim()
+
+
+def _told_by(t: pa.Table):
     asked = [np.cumsum(K.unplanes(x, np.uint64)) for x in t["keys"].to_pylist()]
     size = [len(x) for x in asked]
     odd = t["chunk"].to_numpy() % 2 == 1
@@ -106,8 +108,6 @@ def _answer(batches):
     # Small numbers: their empty planes vanish in the codec.
     out = [K.planes(np.concatenate([x[idx[a:z]] for x in (told if o else told[::2])])) for o, a, z in zip(odd, cut[:-1], cut[1:])]
     yield pa.RecordBatch.from_arrays([t["owner"].combine_chunks().cast(pa.int32()), t["chunk"].combine_chunks().cast(pa.int64()), pa.array(out, pa.binary())], names=["owner", "chunk", "counts"])
-    del t, count, told, out, known, idx, held
-    K.trim()
 
 
 def _told(left: pa.Table, right: pa.Table, shift: np.uint64):
@@ -168,7 +168,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = 1 << max(2, int(total // OWNED).bit_length())
     shift = np.uint64(64 - (own.bit_length() - 1))
     asked = tok.select("chunk", "sizes", "vocab", "at").mapInArrow(_ask(own, shift), "owner int, chunk long, keys binary, counts binary")
-    told = stash(asked.repartitionById(own, F.col("owner")).mapInArrow(_answer, "owner int, chunk long, counts binary"), "lm-counts")
+    told = stash(K.to_owners(asked, own).mapInArrow(_answer, "owner int, chunk long, counts binary"), "lm-counts")
     both = lambda where: tok.filter(where).groupBy("chunk").cogroup(told.filter(where).groupBy("chunk"))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -150,6 +150,36 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+#: Partitions that owners are spread over at most; one may hold several, one after the other.
+PARTITIONS = 20_000
+
+
+def to_owners(asked, own: int):
+    """Requests at their owners: a partition each, or several in a row."""
+    from pyspark.sql import functions as F
+
+    if own <= PARTITIONS:
+        return asked.repartitionById(own, F.col("owner"))
+    return asked.repartition(PARTITIONS, F.col("owner")).sortWithinPartitions("owner")
+
+
+def each_owner(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one owner after the other."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b["owner"].to_numpy()
+        cut = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), b.num_rows]
+        for a, z in zip(cut[:-1], cut[1:]):
+            if held and held[-1]["owner"][0].as_py() != ids[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def planes(x: np.ndarray) -> bytes:
     """Numbers byte by byte (all lowest bytes first), so that a codec sees
     the empty high bytes together."""
@@ -177,7 +207,9 @@ def stash_tokens(docs, id_col: str, text_col: str, name: str, split=None):
     from pyspark.sql import types as T
 
     from factline.llm.common import stash
+    from factline.ship import ship
 
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "vocab", "at"))])
 

@@ -80,3 +80,12 @@ def test_shuffled_words_score_worse(spark):
     data = [(i, " ".join(base[k : k + 90])) for i, k in enumerate(rng.integers(0, 1000, 60))] + [(99, " ".join(rng.permutation(base[:90])))]
     got = {r["doc_id"]: r["log_prob"] for r in lm.lm_score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got[99] < min(v for k, v in got.items() if k != 99)
+
+
+def test_owners_that_share_partitions_answer_alike(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(rng.choice([f"w{i}" for i in range(50)], 40))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, lm.lm_score(df).collect()))
+    monkeypatch.setattr(K, "PARTITIONS", 2)
+    assert sorted(map(tuple, lm.lm_score(df).collect())) == want
