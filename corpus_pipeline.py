@@ -6,24 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factline.llm import decontaminate, jaccard, langid, mixing, sharding
 from factline.llm.common import stash
-from factline.ship import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some mixture of languages explains."""
-    ship(spark)
     return langid.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the n-gram Jaccard join connects."""
-    ship(spark)
     return jaccard.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    ship(spark)
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,7 +30,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, shuffled into shards, with their places."""
-    ship(spark)
     return sharding.shard(docs)
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
 from factline.llm.common import pieces, scratch, small, stash
+from factline.ship import ship
 
 SEED = 53
 #: Dimensions of the latent space, and words of a passage that it is fitted on.
@@ -65,6 +68,7 @@ def items_of(rows: list) -> Items:
 def known_words(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """Chunks of documents reduced to the words that some item has, and their
     places: all that matching and retrieval look at."""
+    ship(docs.sparkSession)
     schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "gaps", "at"))])
 
     def cut(batches):
@@ -148,8 +152,10 @@ def _passages(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, n_vocab: int) ->
 
 def gram_times(known: DataFrame, weight: np.ndarray, q: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """A'A q, where A holds the weighted passages of all documents and the items:
-    each partition adds up its own, then blocks of words are added up."""
+    each partition adds up its own; blocks of words are then added up, first over groups of
+    partitions, as many as a group has members, so that no task reads from all."""
     n_vocab, rank, block = len(weight), q.shape[1], 512
+    groups = math.ceil(known.rdd.getNumPartitions() ** 0.5)
     wq = (weight[:, None] * q).astype(np.float32)
 
     def product(seg, word, tf):
@@ -166,18 +172,22 @@ def gram_times(known: DataFrame, weight: np.ndarray, q: np.ndarray, items: list[
         return out
 
     def multiply(batches):
-        total = np.zeros((n_vocab, rank), np.float64)
+        total, group = np.zeros((n_vocab, rank), np.float64), TaskContext.get().partitionId() % groups
         for _, doc, pos, at, _ in _each(batches):
             on = weight[at] > 0
             total += product(*_passages(doc[on], pos[on], at[on], n_vocab))
         for k in range(0, n_vocab, block):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + block].tobytes()], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([total[k : k + block].tobytes()], pa.binary())], names=["block", "group", "part"])
 
     def add(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.float64) for x in t["part"].to_pylist()]
-        return pa.table([t["block"][:1].cast(pa.int32()), pa.array([np.sum(parts, 0).tobytes()], pa.binary())], names=["block", "part"])
-
-    rows = known.select("ids", "sizes", "gaps", "at").mapInArrow(multiply, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").collect()
+        total = np.zeros_like(np.frombuffer(t["part"][0].as_py(), np.float64))
+        for x in t["part"]:
+            total += np.frombuffer(x.as_py(), np.float64)
+        return pa.table([t["block"][:1].cast(pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "group", "part"])
+
+    schema = "block int, group int, part binary"
+    parts = known.select("ids", "sizes", "gaps", "at").mapInArrow(multiply, schema)
+    rows = parts.groupBy("block", "group").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).select("block", "part").collect()
     doc = np.repeat(np.arange(len(items)), [len(w) for w in items])
     y = product(*_passages(doc, np.zeros(len(doc), np.int64), np.concatenate(items) if items else np.zeros(0, np.int64), n_vocab)).astype(np.float64)
     for b, part in rows:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from factline.llm.quality import STOP
 from factline.llm.tokens import trim
+from factline.ship import ship
 
 #: Characters below which a block is short, and above which stop words alone decide.
 SHORT, LONG = 70, 200
@@ -162,6 +163,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     gives an empty one; other columns are ignored. Whole pages are read, in
     Arrow batches, and nothing is shuffled.
     """
+    ship(pages.sparkSession)
     id_type = pages.schema[id_col].dataType
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("n_blocks", T.IntegerType()), T.StructField("n_good", T.IntegerType()), T.StructField("text", T.StringType())])
 
