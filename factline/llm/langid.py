@@ -166,7 +166,7 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("proportions", T.ArrayType(T.DoubleType())), T.StructField("accepted", T.BooleanType())])
 
     def run(batches):
-        for t in K.chunks(batches, "text", 4 << 20):
+        for t in K.chunks(batches, "text", 2 << 20):
             words, chosen = infer(t["text"].combine_chunks(), langs, table)
             top = [c[0] if c else (NONE, 0.0) for c in chosen]
             yield from pa.table(
@@ -185,7 +185,7 @@ def keep_languages(docs: DataFrame, langs: tuple[str, ...] | None = None, id_col
     known, table = fit(*sample(docs, id_col, text_col, lang_col))
 
     def run(batches):
-        for t in K.chunks(batches, text_col, 4 << 20):
+        for t in K.chunks(batches, text_col, 2 << 20):
             _, chosen = infer(t[text_col].combine_chunks(), known, table)
             good = [bool(c) and sum(s for _, s in c) >= ACCEPT and (langs is None or c[0][0] in langs) for c in chosen]
             yield from t.filter(pa.array(good, pa.bool_())).to_batches()
