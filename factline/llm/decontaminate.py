@@ -28,6 +28,10 @@ LCS, ANSWER, RARE, SURE = 0.6, 0.6, 0.5, 0.85
 #: A word of more than this share of documents has no weight. The corpus counts
 #: as PRIOR documents more, so that a few documents don't make every word common.
 COMMON, PRIOR = 0.05, 1000
+#: Items with less than this share of weighted words, or of the usual weight a word,
+#: are weak: the cosine can miss them, so they are searched for by their words. Of
+#: items with so few weighted words, shorter ones than SHORT must be there to SURE.
+WEAK, SHORT = 0.25, 16
 #: Shorter items are not searched for: a few words are no evidence.
 LEAST_WORDS = 5
 #: Bytes of items that are searched for in one go; more take several.
@@ -242,12 +246,28 @@ def classes(items: list[np.ndarray]) -> dict[int, np.ndarray]:
     return {int(c): np.flatnonzero(size == c) for c in np.unique(size)}
 
 
-def _search(items: Items, weight: np.ndarray, space: np.ndarray):
+def weak_items(items: Items, weight: np.ndarray, df: np.ndarray) -> dict[int, tuple[np.ndarray, bool]]:
+    """Items that the cosine can't be relied on for: their rarer words, and if
+    they are common. Weighted words are the rarer ones; a common item, of too few of
+    these, has the rarer half of its own words besides."""
+    told = np.array([(weight[w] > 0).mean() for w in items.words])
+    mass = np.array([(weight[w] ** 2).mean() for w in items.words])
+    out = {}
+    for i in np.flatnonzero((told < WEAK) | (mass < WEAK * np.median(mass))).tolist():
+        w, common = items.words[i], bool(told[i] < WEAK)
+        out[i] = np.unique(w[(weight[w] > 0) | (common & (df[w] <= np.median(df[w])))]), common
+    return out
+
+
+def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray):
     rare = weight > 0
     word_vec = (weight[:, None] * space).astype(np.float32)
     mass_of = weight**2
-    by = {}
+    by, weak = {}, weak_items(items, weight, df)
     for size, own in classes(items.words).items():
+        own = own[[int(i) not in weak for i in own]]
+        if not len(own):
+            continue
         vec = np.stack([word_vec[items.words[i]].sum(0) for i in own])
         norm = np.linalg.norm(vec, axis=1, keepdims=True)
         mass = min((float(mass_of[items.words[i]].sum()) for i in own), default=0.0)
@@ -296,6 +316,37 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray):
                 owner = np.searchsorted(base, s[x], "right") - 1
                 yield from zip(owner.tolist(), ((s[x] - base[owner]) * half).tolist(), [3 * half] * len(x), own[y].tolist(), cos[x, y].tolist())
 
+    size_of_item = {int(i): size for size, own in classes(items.words).items() for i in own}
+
+    def by_words(doc, pos, at):
+        """(document, first word, words, weak item, its rarer words as a mask) of all
+        windows, of the same places, that hold as many of these words as a leak must."""
+        mark = np.zeros(len(weight), bool)
+        for i, (own, _) in weak.items():
+            half = size_of_item[i] // 2
+            need = RARE * int(np.isin(items.words[i], own).sum())
+            mark[:] = False
+            mark[own] = True
+            t = np.flatnonzero(mark[at])
+            if not len(t):
+                continue
+            cell = pos[t] // half
+            # A window's margins lie in the cells before and behind it.
+            stride = int(cell.max()) + 8
+            cells, n = np.unique(doc[t] * stride + cell + 2, return_counts=True)
+            starts = np.unique(np.concatenate([cells - k for k in range(3)]))
+            starts = starts[starts % stride >= 2]
+            total = np.zeros(len(starts), np.int64)
+            for k in range(-1, 4):
+                where = np.minimum(np.searchsorted(cells, starts + k), len(cells) - 1)
+                total += np.where(cells[where] == starts + k, n[where], 0)
+            for x in starts[total >= need].tolist():
+                yield x // stride, (x % stride - 2) * half, 3 * half, i, mark
+
+    def cosine(item, seen):
+        a, b = word_vec[items.words[item]].sum(0), word_vec[seen].sum(0)
+        return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-30))
+
     def search(batches):
         for ids, doc, pos, at, _ in _each(batches):
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -307,6 +358,16 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray):
                 got = verdict(items.words[item], items.answers[item], rare, at[a + lo : a + hi])
                 if got and (got[0], cos) > best.get((d, item), (0, 0, 0))[::2]:
                     best[d, item] = (got[0], got[1], cos)
+            for d, first, width, item, mark in by_words(doc, pos, at):
+                a, z = begin[d], begin[d + 1]
+                lo, hi = np.searchsorted(pos[a:z], (first - width // 4, first + width + width // 4))
+                seen = at[a + lo : a + hi]
+                got = verdict(items.words[item], items.answers[item], mark, seen)
+                if not got or got[0] < SURE and weak[item][1] and len(items.words[item]) < SHORT:
+                    continue
+                cos = cosine(item, seen)
+                if (d, item) not in best or (got[0], cos) > best[d, item][::2]:
+                    best[d, item] = (got[0], got[1], cos)
             if best:
                 rows = [(ids[d].as_py(), items.ids[i], c, s, t) for (d, i), (s, t, c) in sorted(best.items())]
                 yield rows
@@ -326,6 +387,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     (:func:`randomised_svd`) make the latent space. Every document is then cut into
     overlapping windows for every size of item, and each window whose cosine to
     an item is ``COSINE`` or more goes through the exact checks of :func:`verdict`.
+    Items that leaked so widely, or are so plain, that their words have little or no
+    weight (:func:`weak_items`) have no useful cosine: every window that holds enough of their rarer words
+    goes through these checks.
 
     Null and empty texts hold no leak; items that are null or of fewer than
     ``LEAST_WORDS`` words are not searched for. Null ids and repeated rows give rows of their
@@ -354,7 +418,7 @@ def _part(docs: DataFrame, b: DataFrame, id_col: str, text_col: str, schema: T.S
     own = np.bincount(np.concatenate(items.words), minlength=len(weight))
     weight = weight / np.sqrt(np.maximum(energy + own, 1)) ** 0.5
     space, _ = randomised_svd(known, weight, items.words)
-    search = _search(items, weight, space)
+    search = _search(items, weight, space, df)
     names = schema.names
     from pyspark.sql.pandas.types import to_arrow_type
 

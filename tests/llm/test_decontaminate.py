@@ -104,3 +104,26 @@ def test_singular_vectors(spark):
         for w in t.split():
             a[d, place[w]] += 1
     assert s[:3] == pytest.approx(np.linalg.svd(a, compute_uv=False)[:3], rel=1e-2)
+
+
+def test_items_of_common_words_are_found(spark):
+    rng = random.Random(5)
+    wide, other, plain = words(rng, 30), words(rng, 30), ["it", "was", "one", "of", "the", "few", "that", "he", "had", "in", "it", "of", "the", "was", "he", "that"]
+    filler = ["it", "was", "of", "the", "that", "he", "had", "in", "one", "few"]
+    docs, want = [], set()
+    for d in range(600):
+        text = [rng.choice(filler) if rng.random() < 0.3 else x for x in words(rng, 200)]
+        for k, item, every in ((0, wide, 5), (1, other, 150), (2, plain, 60)):
+            if d % every == k:
+                at = rng.randrange(len(text))
+                # Copies don't split each other.
+                text = text[:at] + item + text[at:] if k == 0 or d % 5 else text + item
+                want.add((d, k))
+        docs.append((d, " ".join(text)))
+    items = [(0, " ".join(wide)), (1, " ".join(other)), (2, " ".join(plain))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sum(k == 0 for _, k in want) == 120 > D.COMMON * (600 + D.PRIOR)
+    got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(df, bench).collect()}
+    assert want <= got
+    assert {x for x in got if x[1] < 2} == {x for x in want if x[1] < 2}
+    assert D.remove_leaks(df, bench).filter("doc_id % 5 = 0").count() == 0
