@@ -58,6 +58,11 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 #: Ends of sentences: a line end, or a stop, semicolon, ! or ? before white
 #: space. A comma after "License")" in the Apache header ends a clause as well.
 BREAK = r"[.;!?]+[ \t\r]+|[.;!?]*[ \t\r]*\n[ \t\r\n]*|\"License\"\);?[ \t\r]+"
+#: In lower-cased text: where a sentence must end, a stop (but that of "v. 2.0") or a line
+#: without letters and digits; and where it may end as well as go on, the other
+#: places of BREAK, "v. " and a colon. They become H and S.
+HARD = r"(?<![^a-z0-9]v)[.;!?][ \t\r\n]|\n[^a-z0-9\n]*\n"
+QUOTED, SOFT = r"\"license\"\);?[ \t\r]", r"(?<=[^a-z0-9]v)\.[ \t\r]|:[ \t\r]|\n"
 #: Every known sentence holds one of these, in lower case (checked on import),
 #: so a text without any of them can't match and is not split.
 ANCHORS = ("licen", "permission is hereby", "notice", "warrant", "redistribut", "gnu general", "copyright holder", "cc0", "cc by", "creative commons", "permission to use", "rights reserved")
@@ -80,7 +85,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``license``, ``n_sentences`` of the rule, and the text's ``identifiers`` in
     order, joined by spaces.
 
-    Texts are split into sentences, these are lower-cased, reduced to words
+    Texts are lower-cased and reduced to words and (possible) ends of sentences;
+    known sentences, which may be wrapped or commented out line by line, are found by one expression
     and looked up in a constant map; the identifiers in order form one short string,
     against which each rule is one regular expression, the rules longest first. A
     rule that is contained in a matching rule of the same licence still shows.
@@ -91,17 +97,23 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     known = F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv))
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("x"))
-    t = t.filter(F.col("x").rlike("(?i)" + "|".join(ANCHORS)))
-    # Only sentences with an anchor are normalised: the same lossless test again.
-    sentences = F.filter(F.split("x", BREAK), lambda s: s.rlike("(?i)" + "|".join(ANCHORS)))
-    clean = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
+    t = t.filter(F.col("x").rlike("(?i)" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)))
+    marked = F.lower("x")
+    for place, mark in ((HARD, "H"), (QUOTED, "SlicenseS"), (SOFT, "S"), ("[^a-z0-9HS]+", " ")):
+        marked = F.regexp_replace(marked, place, mark)
+    hits = F.regexp_extract_all(F.concat(F.lit("H"), marked, F.lit("H")), F.lit(_any_known()), F.lit(0))
+    found = F.transform(hits, lambda s: F.try_element_at(known, F.regexp_replace(s, "[ S]+", " ")))
     t = t.select("doc_id", F.array_join(found, " ").alias("identifiers")).filter(F.col("identifiers") != "")
     spaced = F.concat(F.lit(" "), F.regexp_replace("identifiers", " ", "  "), F.lit(" "))
     hits = [F.when(spaced.rlike(_pattern(ids)), F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.lit(len(ids)).alias("n_sentences"))) for r, lic, ids in RULES]
     return t.select("doc_id", "identifiers", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.rule", "h.license", "h.n_sentences", "identifiers")
 
 
+def _any_known() -> str:
+    """Any known sentence between two ends, the longest first."""
+    return "(?<=[HS]|[HS] )(?:" + "|".join(k.replace(" ", "[ S]+") for k in sorted(KNOWN, key=len, reverse=True)) + ")(?= ?[HS])"
+
+
 def _pattern(ids: tuple[str, ...]) -> str:
     """Identifiers are each between two spaces; any number may stand between."""
     return "(?: [A-Z0-9_]+ )*".join(f" {i} " for i in ids)

@@ -218,3 +218,22 @@ def test_html_rules(spark):
     assert [got[k]["text"] for k in (2, 3, None)] == ["", "", ""] and (got[2]["n_blocks"], got[None]["n_blocks"]) == (0, 1)
     assert len(got[4]["text"]) > 100_000
     assert H.extract_html(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_every_license_rule_wrapped_and_on_one_line(spark):
+    import textwrap
+
+    rows = []
+    for rule, _, ids in licenses.RULES:
+        full = " ".join(x if x.endswith(":") else x + "." for x in (licenses.SENTENCES[i][0] for i in ids))
+        if rule == "apache2_header":
+            full = full.replace("Version 2.0. you", 'Version 2.0 (the "License"); you')
+            assert '(the "License"); you' in full
+        lines = textwrap.wrap(full, 70)
+        for k, text in enumerate((full, "\n".join(lines), "\r\n".join(lines), "/*\n" + "".join(f" * {x}\n" for x in lines) + " */\ncode()", "".join(f"# {x}\n" for x in lines), "Title\n\n" + "\n".join(textwrap.wrap(full, 25)))):
+            rows.append((f"{rule} {k}", text, rule))
+    rows.append(("none", "MIT\n\nLicense. All rights. Reserved. The MIT License is long\nThis is not the MIT\n\nLicense", None))
+    rows.append(("title", "MIT License\nCopyright (c) 2020 Somebody", "mit_name"))
+    got = {(r["doc_id"], r["rule"]) for r in licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
+    assert {(i, r) for i, _, r in rows if r} <= got
+    assert not any(i == "none" for i, _ in got)
