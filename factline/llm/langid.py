@@ -23,8 +23,8 @@ SEED = 31
 BITS, ALPHA = 16, 0.5
 #: Rounds of expectation-maximisation over all languages, and over each set.
 ROUNDS, AGAIN = 8, 5
-#: Largest set; each further language costs so many times ln(words + 1).
-MOST, COST = 3, 3.0
+#: Each further language of a set costs so many times ln(words + 1).
+COST = 3.0
 #: The component of words that no language explains: every trigram alike.
 NONE = "zxx"
 #: A document is rejected if its languages explain less than this share of its words.
@@ -116,16 +116,26 @@ def infer(text: pa.Array, langs: list[str], table: np.ndarray):
     share, _ = mixture(like, row, np.ones((few + 1, len(docs)), np.float32), ROUNDS)
     order = np.argsort(-np.round(share[:few], 6), axis=0, kind="stable")
     best, final = np.full(len(docs), -np.inf), np.zeros_like(share)
-    for m in range(1, min(MOST, few) + 1):
-        allowed = np.zeros_like(share)
-        allowed[order[:m], np.arange(len(docs))] = 1
+    size, cost = words[docs], COST * np.log(words[docs] + 1)
+    for m in range(1, few + 1):
+        # Words are relative to their best component, so no set's likelihood is
+        # above 0: documents that are better already than the cost alone are done.
+        left = np.flatnonzero(best < 1e-3 * size - cost * (m - 1))
+        if not len(left):
+            break
+        allowed = np.zeros((few + 1, len(left)), np.float32)
+        allowed[order[:m, left], np.arange(len(left))] = 1
         allowed[few] = 1
-        got, fits = mixture(like, row, allowed, AGAIN)
-        fits = fits - COST * (m - 1) * np.log(words[docs] + 1)
-        better = fits > best
-        best[better], final[:, better] = fits[better], np.where(allowed > 0, got, 0)[:, better]
+        on = np.zeros(len(docs), bool)
+        on[left] = True
+        on = np.repeat(on, size)
+        got, fits = mixture(like[:, on], row[on], allowed, AGAIN)
+        fits = fits - cost[left] * (m - 1)
+        better = fits > best[left]
+        now = left[better]
+        best[now], final[:, now] = fits[better], np.where(allowed > 0, got, 0)[:, better]
     for k, d in enumerate(docs.tolist()):
-        got = [(langs[x], float(final[x, k])) for x in np.argsort(-final[:few, k], kind="stable")[:MOST] if final[x, k] > 0.005]
+        got = [(langs[x], float(final[x, k])) for x in np.argsort(-final[:few, k], kind="stable") if final[x, k] > 0.005]
         chosen[d] = got
     return words, chosen
 
@@ -151,7 +161,7 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Every word has a likelihood in each language, the product of its byte
     trigrams' (from ``labelled``, the input itself if not given, at most ``SAMPLE`` documents a
     language), and in none, where all trigrams are alike. Expectation-maximisation
-    gives a document's proportions; sets of the 1 to ``MOST`` strongest languages are then
+    gives a document's proportions; sets of the 1, 2, ... strongest languages, up to all, are then
     fitted alone, and the one of the highest likelihood less ``COST`` ln(words + 1) for each further language
     is chosen. Accepted is a document whose languages explain ``ACCEPT`` of its words.
 

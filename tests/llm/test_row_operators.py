@@ -237,3 +237,30 @@ def test_every_license_rule_wrapped_and_on_one_line(spark):
     got = {(r["doc_id"], r["rule"]) for r in licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
     assert {(i, r) for i, _, r in rows if r} <= got
     assert not any(i == "none" for i, _ in got)
+
+
+def test_mixtures_of_many_languages(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocab = {f"l{k}": ["".join(rng.choice(a) for _ in range(rng.randrange(4, 9))) for _ in range(40)] for k, a in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}
+    some = lambda x, n: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    labelled = [(some(x, 60), x) for x in vocab for _ in range(4)]
+    langs, table = langid.fit(*map(list, zip(*labelled)))
+    sets = [rng.sample(langs, k) for k in (1, 2, 3, 4, 5, 6, 4, 6)]
+    texts = [" ".join(some(x, 50) for x in xs) for xs in sets]
+    _, got = langid.infer(pa.array(texts), langs, table)
+    for xs, g in zip(sets, got):
+        assert sorted(x for x, _ in g) == sorted(xs)
+        assert [s for _, s in g] == pytest.approx([1 / len(xs)] * len(xs), abs=0.05)
+        assert sum(s for _, s in g) >= langid.ACCEPT
+    # Documents that are done early have what all sizes of sets give.
+    mixed = [" ".join(some(rng.choice(langs), 1) for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    _, quick = langid.infer(pa.array(mixed), langs, table)
+    with monkeypatch.context() as m:
+        m.setattr(langid.np, "flatnonzero", lambda x, f=np.flatnonzero: np.arange(len(x)) if len(x) == len(mixed) else f(x))
+        _, whole = langid.infer(pa.array(mixed), langs, table)
+    assert [[x for x, _ in g] for g in quick] == [[x for x, _ in g] for g in whole]
