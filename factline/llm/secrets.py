@@ -21,6 +21,10 @@ FORMATS: tuple[tuple[str, str], ...] = (
 )
 #: A secret starts the text or follows something that isn't of a word.
 CANDIDATE = "(?:^|[^0-9A-Za-z_])(?:" + "|".join(p for _, p in FORMATS) + ")"
+#: An assignment to a longer name that ends in such a word, as DB_PASSWORD; group 1
+#: is the value, and no fixed format (CANDIDATE finds these in any case). The SQL
+#: doesn't have it.
+PREFIXED = "(?:^|[^0-9A-Za-z_])[0-9A-Za-z_]+(?i:password|passwd|secret|token|api_?key|access_?key|auth)[\"']?+ ?+[:=]{1,2}+ ?+[\"']?+(?!" + "|".join(p for n, p in FORMATS if n != "assignment") + ")([0-9A-Za-z_+/=.-]{12,})"
 #: Words of made-up values; the sequence of digits and letters is one as well.
 FAKE = "example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef"
 #: So many owners make a value an example that is copied around.
@@ -34,16 +38,24 @@ def _rule(m: Column) -> Column:
     return arms
 
 
+def _matches(text: Column) -> Column:
+    """What CANDIDATE finds, and the values that PREFIXED does."""
+    none = F.lit(None).cast("string")
+    plain = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(m.alias("m"), none.alias("assigned")))
+    return F.concat(plain, F.transform(F.regexp_extract_all(text, F.lit(PREFIXED), F.lit(1)), lambda v: F.struct(none.alias("m"), v.alias("assigned"))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner: Column | None = None) -> DataFrame:
     """One row per candidate string in a text: id, repository, owner, rule,
     ``secret_hash`` and whether it looks made up. The value itself goes no further."""
     owner = F.split_part(F.col(repo_col).cast("string"), F.lit("/"), F.lit(1)) if owner is None else owner
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))).alias("m"))
-    rows = rows.withColumn("rule", _rule(F.col("m")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.explode(_matches(F.col(text_col))).alias("c"))
+    rows = rows.select("doc_id", "repo", "owner", "c.*")
+    rows = rows.withColumn("rule", F.when(F.col("assigned").isNotNull(), "assignment").otherwise(_rule(F.col("m"))))
     # What an assignment assigns, without the name, quotes and the character before.
     bare = F.when(F.col("rule") == "assignment", F.regexp_extract("m", "[0-9A-Za-z_+/.=-]{12,}$", 0)).otherwise(F.regexp_replace("m", "^[^0-9A-Za-z_-]", ""))
     bare = F.regexp_replace(bare, "^(?i:password|passwd|secret|token|api_?key|access_?key|auth)={1,2}", "")
-    rows = rows.withColumn("value", bare)
+    rows = rows.withColumn("value", F.coalesce("assigned", bare))
     plain = F.size(F.array_distinct(F.split("value", ""))) < 6
     return rows.select("doc_id", "repo", "owner", "rule", F.sha2("value", 256).alias("secret_hash"), (F.lower("value").rlike(FAKE) | plain).alias("made_up"))
 

@@ -264,3 +264,16 @@ def test_mixtures_of_many_languages(monkeypatch):
         m.setattr(langid.np, "flatnonzero", lambda x, f=np.flatnonzero: np.arange(len(x)) if len(x) == len(mixed) else f(x))
         _, whole = langid.infer(pa.array(mixed), langs, table)
     assert [[x for x, _ in g] for g in quick] == [[x for x, _ in g] for g in whole]
+
+
+def test_secrets_of_prefixed_names(spark):
+    import hashlib
+
+    value = "q7Rt2Zp9Lk4Wm8Vx"
+    named = ["DB_PASSWORD={}", "AWS_SECRET_ACCESS_KEY = '{}'", "client_secret: {}", 'x.dbPassword = "{}";', '{{"my_api_key": "{}"}}', "--app_token={}", "\nexport GH_TOKEN={}\n"]
+    rows = [(k, t.format(value), "o/r") for k, t in enumerate(named)]
+    rows += [(50, f"GH_TOKEN={TOKEN}", "o/r"), (51, "DB_PASSWORD=short", "o/r"), (52, "passwords_of=q7Rt2Zp9Lk4Wm8Vx", "o/r"), (53, f"password: {value}", "o/r"), (54, None, "o/r")]
+    got = sorted((r["doc_id"], r["rule"], r["secret_hash"], r["occurrences"], r["verdict"]) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(k, "assignment", sha(value), 1, "live") for k in [*range(len(named)), 53]] + [(50, "github_token", sha(TOKEN), 1, got[len(named)][4])]
+    assert got == sorted(want)
