@@ -50,18 +50,20 @@ def longest_chain(edges: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("depth", F.lit(0)).limit(0)
 
 
-def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
-    """Every simple cycle of up to ``most`` nodes, once, begun at its least node:
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Every simple cycle (of up to ``most`` nodes, if given), once, begun at its least node:
     ``path`` and ``length``. Paths only grow through nodes above their first, so
     each cycle is found in one rotation alone."""
     e = edges.select("src", "dst").distinct()
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found = e.filter("src = dst").select(F.array("src").alias("path"))
-    for k in range(2, most + 1):
+    k = 1
+    while most is None or k < most:
+        k += 1
         last, first = F.element_at("path", -1), F.element_at("path", 1)
         closed = paths.join(e, (last == F.col("src")) & (first == F.col("dst")), "left_semi")
         found = found.unionByName(closed)
-        if k < most:
+        if most is None or k < most:
             grown = paths.join(e, last == F.col("src")).filter((F.col("dst") > first) & ~F.array_contains("path", F.col("dst")))
             paths = _written(grown.select(F.concat("path", F.array("dst")).alias("path")), f"paths-{k}")
             if paths.isEmpty():

@@ -97,3 +97,10 @@ def test_suffixes_and_occurrences(spark):
 def test_diff_states(spark):
     b, a = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "y"), (4, "z"), (3, None)], "k int, v string")
     assert {r["k"]: r["state"] for r in facts.run_diff(b, a, "k", "v").collect()} == {1: "same", 2: "changed", 3: "same", 4: "added"}
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(k, (k + 1) % 11) for k in range(11)] + [(20, 21), (21, 20), (3, 30), (30, 31)]
+    edges = spark.createDataFrame(ring, "src long, dst long")
+    assert sorted(r["length"] for r in graph.cycles(edges).collect()) == [2, 11]
+    assert [r["length"] for r in graph.cycles(edges, 8).collect()] == [2]
