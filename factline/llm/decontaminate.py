@@ -130,6 +130,8 @@ def document_counts(known: DataFrame, n_vocab: int) -> tuple[np.ndarray, np.ndar
             df += np.bincount(np.unique(doc * n_vocab + at) % n_vocab, minlength=n_vocab)
             _, cell, tf = _passages(doc, pos, at, n_vocab)
             energy += np.bincount(cell, weights=tf * tf, minlength=n_vocab).astype(np.int64)
+            del doc, pos, at, cell, tf
+            K.trim()
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *df[used].tolist()], pa.int64()), pa.array([0, *energy[used].tolist()], pa.int64())], names=["word", "df", "energy"])
 
@@ -180,13 +182,18 @@ def gram_times(known: DataFrame, weight: np.ndarray, q: np.ndarray, items: list[
         for _, doc, pos, at, _ in _each(batches):
             on = weight[at] > 0
             total += product(*_passages(doc[on], pos[on], at[on], n_vocab))
+            del doc, pos, at, on
+            K.trim()
         for k in range(0, n_vocab, block):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([total[k : k + block].tobytes()], pa.binary())], names=["block", "group", "part"])
+        del total
+        K.trim()
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros_like(np.frombuffer(t["part"][0].as_py(), np.float64))
         for x in t["part"]:
             total += np.frombuffer(x.as_py(), np.float64)
+        K.trim()
         return pa.table([t["block"][:1].cast(pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "group", "part"])
 
     schema = "block int, group int, part binary"
@@ -371,6 +378,8 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
             if best:
                 rows = [(ids[d].as_py(), items.ids[i], c, s, t) for (d, i), (s, t, c) in sorted(best.items())]
                 yield rows
+            del doc, pos, at, begin
+            K.trim()
 
     return search
 

@@ -204,7 +204,7 @@ def _join_regions(least: float, forest: bool):
         return [(int(node[a]), int(node[b]), j) for (a, b), j in pairs.items() if not cross or block[a] != block[b]]
 
     def run(batches):
-        now, node, block, blobs, out = None, [], [], [], []
+        now, node, block, blobs, out, freed = None, [], [], [], [], 0
 
         def flush():
             if len(node) > 1:
@@ -218,15 +218,22 @@ def _join_regions(least: float, forest: bool):
             for p, i, j, v, k, g in zip(*(x[c].to_pylist() for c in ("pivot", "i", "j", "node", "block", "grams"))):
                 if (p, i, j) != now:
                     flush()
+                    freed += sum(map(len, blobs))
                     now, node, block, blobs = (p, i, j), [], [], []
                     if len(out) > 50_000:
                         yield batch()
                         out = []
+                    if freed > 8 << 20:
+                        freed = 0
+                        K.trim()
                 node.append(v)
                 block.append(k)
                 blobs.append(g)
         flush()
+        blobs.clear()
         yield batch()
+        out.clear()
+        K.trim()
 
     return run
 

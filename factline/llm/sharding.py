@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm.common import fresh, own, pieces
+from factline.llm.tokens import trim
 from factline.ship import ship
 
 SEED = 41
@@ -57,10 +58,10 @@ def shard(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, i
     names = [*kept, "shard", "position"]
 
     def shuffled(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        t = [b for b in batches if b.num_rows]
+        if not t:
             return
-        t = pa.Table.from_batches(batches)
+        t = pa.Table.from_batches(t)
         ids = t["shard"].to_numpy()
         cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
         for a, z in zip(cuts[:-1], cuts[1:]):
@@ -72,5 +73,10 @@ def shard(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, i
                 piece = part.take(cut).combine_chunks()
                 piece = piece.append_column("position", pa.array(np.arange(k, k + len(cut)), pa.int64()))
                 yield from piece.select(names).to_batches()
+                del piece
+                trim()
+            del part, order
+        del t
+        trim()
 
     return inner.mapInArrow(shuffled, schema)
