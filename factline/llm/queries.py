@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,66 @@ def test_join_against_brute_force(spark):
     assert len(got) > 20
 
 
+def classes_brute(rows, least=J.LEAST):
+    """(class, copies, links) of each id, from all pairs of distinct sets."""
+    nodes = {}
+    for i, t in rows:
+        if i is not None and (g := frozenset(grams(t))):
+            nodes.setdefault(g, set()).add(i)
+    linked = {g: {h for h in nodes if h != g and len(g & h) / len(g | h) >= least} for g in nodes}
+    label, todo = {}, set(nodes)
+    while todo:
+        part, edge = set(), [next(iter(todo))]
+        while edge:
+            g = edge.pop()
+            if g not in part:
+                part.add(g)
+                edge += linked[g]
+        todo -= part
+        label |= dict.fromkeys(part, min(i for g in part for i in nodes[g]))
+    out = {i: (i, 0, 0) for i, _ in rows if i is not None}
+    for g, ids in nodes.items():
+        for i in ids:
+            c, k, n = out[i]
+            out[i] = min(c, label[g]), k + len(ids) - 1, n + sum(len(nodes[h]) for h in linked[g])
+    return out
+
+
+def classes(df):
+    return {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in J.jaccard_classes(df).collect()}
+
+
+def test_classes_against_brute_force(spark):
+    rows = corpus(3)
+    rows += [(None, rows[0][1]), rows[0], (500, rows[3][1] + " x"), (500, "another text of this id altogether"), (501, "word " * 40_000 + "end"), (502, "word " * 40_000 + "end")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, Class_Id string").repartition(3)
+    assert classes(df) == classes_brute(rows)
+    assert J.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_near_copies_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(f"v{rng.randrange(9)}" if rng.random() < 0.02 else w for w in base)) for k in range(300)]
+    rows += [(1000 + k, " ".join([*base[:55], f"x{k}"])) for k in range(20)]
+    want = classes_brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert classes(df) == want
+    monkeypatch.setattr(J, "BLOCK", 50)
+    monkeypatch.setattr(J, "LEAF", 8)
+    assert classes(df) == want
+    kept = {r["doc_id"] for r in J.deduplicate(df).collect()}
+    assert kept == {c for c, _, _ in want.values()}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(3)
+    name = rng.sample(range(10_000), 400)
+    edges = [(name[k], name[k + 1]) for k in range(299)] + [(name[k], name[300]) for k in range(301, 400)]
+    got = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(name[:300], min(name[:300])), **dict.fromkeys(name[300:], min(name[300:]))}
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     rows = corpus(1)
     df = spark.createDataFrame([*rows, (None, rows[0][1]), rows[5], rows[5]], "doc_id long, text string")
