@@ -67,6 +67,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def plainly(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The columns (all, if not given) under the names c0, c1, ..., whatever their own hold."""
+    return df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns or df.columns)))
+
+
 def own(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with the operator's own columns; an input column whose name
     clashes with one of them (in any case) gives way."""
