@@ -26,11 +26,19 @@ CANDIDATE = "(?:^|[^0-9A-Za-z_])(?:" + "|".join(p for _, p in FORMATS) + ")"
 #: doesn't have it.
 PREFIXED = "(?:^|[^0-9A-Za-z_])[0-9A-Za-z_]+(?i:password|passwd|secret|token|api_?key|access_?key|auth)[\"']?+ ?+[:=]{1,2}+ ?+[\"']?+(?!" + "|".join(p for n, p in FORMATS if n != "assignment") + ")([0-9A-Za-z_+/=.-]{12,})"
 #: Words of made-up values; the sequence of digits and letters is one as well.
-FAKE = "example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef"
+FAKE = "example|sample|dummy|placeholder|changeme|your|xxxx|000000|1234567|abcdef"
+#: A value of fewer distinct characters, or of less entropy (bits a character), is made up.
+DISTINCT, ENTROPY = 6, 2.5
 #: So many owners make a value an example that is copied around.
 WIDELY = 3
 
 
+def _entropy(v: Column) -> Column:
+    """Bits a character, by how often each occurs in the value."""
+    n = lambda c: F.length(v) - F.length(F.replace(v, c, F.lit("")))
+    return F.log2(F.length(v)) - F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), lambda a, c: a + F.when(F.length(c) > 0, n(c) * F.log2(n(c))).otherwise(0.0)) / F.length(v)
+
+
 def _rule(m: Column) -> Column:
     arms = F.lit(None).cast("string")
     for name, p in reversed(FORMATS):
@@ -48,15 +56,15 @@ def _matches(text: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner: Column | None = None) -> DataFrame:
     """One row per candidate string in a text: id, repository, owner, rule,
     ``secret_hash`` and whether it looks made up. The value itself goes no further."""
-    owner = F.split_part(F.col(repo_col).cast("string"), F.lit("/"), F.lit(1)) if owner is None else owner
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.explode(_matches(F.col(text_col))).alias("c"))
+    owner = F.split_part(F.col(f"`{repo_col}`").cast("string"), F.lit("/"), F.lit(1)) if owner is None else owner
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{repo_col}`").cast("string").alias("repo"), owner.alias("owner"), F.explode(_matches(F.col(f"`{text_col}`").cast("string"))).alias("c"))
     rows = rows.select("doc_id", "repo", "owner", "c.*")
     rows = rows.withColumn("rule", F.when(F.col("assigned").isNotNull(), "assignment").otherwise(_rule(F.col("m"))))
     # What an assignment assigns, without the name, quotes and the character before.
     bare = F.when(F.col("rule") == "assignment", F.regexp_extract("m", "[0-9A-Za-z_+/.=-]{12,}$", 0)).otherwise(F.regexp_replace("m", "^[^0-9A-Za-z_-]", ""))
     bare = F.regexp_replace(bare, "^(?i:password|passwd|secret|token|api_?key|access_?key|auth)={1,2}", "")
     rows = rows.withColumn("value", F.coalesce("assigned", bare))
-    plain = F.size(F.array_distinct(F.split("value", ""))) < 6
+    plain = (F.size(F.array_distinct(F.split("value", ""))) < DISTINCT) | (_entropy(F.col("value")) < ENTROPY)
     return rows.select("doc_id", "repo", "owner", "rule", F.sha2("value", 256).alias("secret_hash"), (F.lower("value").rlike(FAKE) | plain).alias("made_up"))
 
 
@@ -64,9 +72,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document, rule and candidate hash, with how far the hash
     spreads through the corpus and the verdict that follows:
 
-    ``made_up`` where the value looks like a placeholder; ``example`` where at least
-    ``widely`` distinct owners have it; ``shared`` where several repositories do;
-    ``live`` where it is in one repository only.
+    ``made_up`` where the value looks like a placeholder (its words, few characters, little
+    entropy); ``example`` where at least ``widely`` distinct owners have it; ``shared`` where
+    several owners do; ``live`` where it is one owner's, in however many of its
+    repositories. Checksums that some formats carry are not looked at.
 
     A repository is ``repo_col``, its owner the part before the first "/" (or
     the column given). Null repositories count as no repository and no owner,
@@ -89,7 +98,7 @@ def _verdicts(per_doc: DataFrame, widely: int) -> DataFrame:
         F.countDistinct("repo").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("n_documents")
     )
     found = per_doc.groupBy("secret_hash", "rule", "made_up", "doc_id").agg(F.sum("k").alias("occurrences"))
-    verdict = F.when(F.col("made_up"), "made_up").when(F.col("n_owners") >= widely, "example").when(F.col("n_repositories") > 1, "shared").otherwise("live")
+    verdict = F.when(F.col("made_up"), "made_up").when(F.col("n_owners") >= widely, "example").when(F.col("n_owners") > 1, "shared").otherwise("live")
     return found.join(spread, F.col("secret_hash") == F.col("h")).select("doc_id", "rule", "secret_hash", "occurrences", "n_documents", "n_repositories", "n_owners", verdict.alias("verdict"))
 
 
@@ -101,9 +110,9 @@ WITH c AS (SELECT doc_id, source AS repo, split_part(source, '/', 1) AS owner, u
 r AS (SELECT *, CASE {arms} END AS rule FROM c),
 v AS (SELECT *, regexp_replace(CASE WHEN rule = 'assignment' THEN regexp_extract(m, '[0-9A-Za-z_+/.=-]{{12,}}$') ELSE regexp_replace(m, '^[^0-9A-Za-z_-]', '') END,
         '^(?i:password|passwd|secret|token|api_?key|access_?key|auth)={{1,2}}', '') AS value FROM r),
-w AS (SELECT doc_id, repo, owner, rule, sha256(value) AS secret_hash, regexp_matches(lower(value), {q(FAKE)}) OR len(list_distinct(string_split(value, ''))) < 6 AS made_up FROM v),
+w AS (SELECT doc_id, repo, owner, rule, sha256(value) AS secret_hash, regexp_matches(lower(value), {q(FAKE)}) OR len(list_distinct(string_split(value, ''))) < {DISTINCT} OR list_aggregate(string_split(value, ''), 'entropy') < {ENTROPY} AS made_up FROM v),
 s AS (SELECT secret_hash AS h, count(DISTINCT repo) AS n_repositories, count(DISTINCT owner) AS n_owners, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS n_documents FROM w GROUP BY 1),
 f AS (SELECT doc_id, rule, secret_hash, made_up, count(*) AS occurrences FROM w GROUP BY ALL)
 SELECT doc_id, rule, secret_hash, occurrences, n_documents, n_repositories, n_owners,
-  CASE WHEN made_up THEN 'made_up' WHEN n_owners >= {WIDELY} THEN 'example' WHEN n_repositories > 1 THEN 'shared' ELSE 'live' END AS verdict
+  CASE WHEN made_up THEN 'made_up' WHEN n_owners >= {WIDELY} THEN 'example' WHEN n_owners > 1 THEN 'shared' ELSE 'live' END AS verdict
 FROM f JOIN s ON f.secret_hash = s.h"""
