@@ -85,7 +85,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     metrics sit in one projection below the verdicts, so each is computed once
     a row and nothing is shuffled.
     """
-    m = docs.select(F.col(id_col).alias("doc_id"), *(v.alias(k) for k, v in metrics(F.col(text_col)).items()))
+    m = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *(v.alias(k) for k, v in metrics(F.col(f"`{text_col}`").cast("string")).items()))
     of = {c: F.col(c) for c in m.columns}
     failed = F.concat_ws(",", *(F.when(broken(r, of), F.lit(r.name)) for r in rules))
     return m.withColumn("failed", failed).withColumn("keep", F.col("failed") == "")
