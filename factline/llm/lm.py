@@ -146,6 +146,19 @@ def weights(cells: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     return lam
 
 
+def _fit(n_left: int, uniform: float):
+    """The weights of one bucket, from its cells."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        n, bucket = t["n"].to_numpy().astype(float), t["bucket"].to_numpy()
+        context, word, two = (t[c].to_numpy() / n for c in ("context", "word", "two"))
+        p2 = np.divide(two, context, out=np.zeros(len(n)), where=context > 0)
+        lam = weights(np.stack([bucket.astype(float), np.minimum(p2, 1), word / n_left, np.full(len(n), uniform), n], 1))[bucket[0]]
+        return pa.table([pa.array(x) for x in (bucket[:1], lam[:1], lam[1:2], lam[2:])], names=["bucket", "two", "word", "uniform"])
+
+    return fit
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_words``, ``log_prob`` (mean
     natural logarithm of a word's probability) and ``perplexity``.
@@ -154,9 +167,12 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     estimates of the corpus (each document starts with a start symbol),
     mixed with weights that depend on the bucket b of the context's count
     c(v), its power of two. The weights are learned by expectation-maximisation on the
-    held-out tenth of documents (by a hash of their words), whose own counts are
+    held-out tenth of documents (by a hash of their words), whose own counts (and words in n) are
     deleted from the estimates meanwhile; the scores then use all counts.
-    No document, word or n-gram is left out, and no count is cut.
+    No document, word or n-gram is left out. For the weights alone, held-out words whose three counts
+    are alike are one cell: exactly for counts below 16, in steps of 1/8 doubling, averaged, beyond. So
+    a bucket has a bounded number of cells at any size of the corpus; each is fitted by a task of its own, and the driver
+    gets three numbers a bucket. A bucket without held-out words keeps equal weights.
 
     A null or wordless text has 0 words and null scores. Null ids and repeated
     rows give a row each; an empty table gives an empty one; other columns are
@@ -188,17 +204,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # Held-out documents only: their chunks are the odd ones.
     cells = both("chunk >= 0 AND chunk % 2 = 1").applyInArrow(gather, "cell long, context double, word double, two double, n long")
-    # As many rows as there are kinds of counts, not words: it grows with the logarithm of the corpus.
-    cells = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("context", "word", "two", "n"))).toArrow()
+    cells = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("context", "word", "two", "n"))).withColumn("bucket", F.shiftrightunsigned("cell", 33).cast("int"))
     n_words = max(int(total), 1)
+    n_held = (tok.filter("chunk % 2 = 1").agg(F.sum(F.octet_length("at"))).first()[0] or 0) // 4
     uniform = 1.0 / (1 + (told.filter("chunk < 0").agg(F.sum(F.expr("cast(decode(counts, 'utf-8') as bigint)"))).first()[0] or 0))
-    if cells.num_rows:
-        n = cells["n"].to_numpy().astype(float)
-        context, word, two = (cells[c].to_numpy() / n for c in ("context", "word", "two"))
-        p2 = np.divide(two, context, out=np.zeros(len(n)), where=context > 0)
-        lam = weights(np.stack([(cells["cell"].to_numpy() >> 33).astype(float), np.minimum(p2, 1), word / n_words, np.full(len(n), uniform), n], 1))
-    else:
-        lam = weights(np.zeros((0, 5)))
+    lam = weights(np.zeros((0, 5)))
+    fitted = cells.groupBy("bucket").applyInArrow(_fit(max(n_words - n_held, 1), uniform), "bucket int, two double, word double, uniform double")
+    for k, *mixed in fitted.collect():
+        lam[k] = mixed
 
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type

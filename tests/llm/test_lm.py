@@ -28,13 +28,14 @@ def brute(texts):
                 hc[a] += 1
                 h2[a, b] += 1
     n = sum(uni.values())
+    left = max(n - sum(hu.values()), 1)
     p0 = 1 / (len(uni) + 1)
     cells = []
     for w, out in zip(words, held):
         for a, b in zip(["<s>", *w], w) if out else ():
             c = ctx[a] - hc[a]
-            cells.append((lm.bucket(np.array([float(c)]))[0], (two[a, b] - h2[a, b]) / c if c else 0.0, (uni[b] - hu[b]) / n, p0, 1))
-    lam = lm.weights(np.array(cells, float).reshape(-1, 5))
+            cells.append((lm.bucket(np.array([float(c)]))[0], (two[a, b] - h2[a, b]) / c if c else 0.0, (uni[b] - hu[b]) / left, p0, 1))
+    lam = em(cells)
     out = []
     for w in words:
         ps = [lam[lm.bucket(np.array([float(ctx[a])]))[0]] @ (two[a, b] / ctx[a], uni[b] / n, p0) for a, b in zip(["<s>", *w], w)]
@@ -42,6 +43,33 @@ def brute(texts):
     return out, held
 
 
+def em(cells):
+    """Weights of each bucket by expectation-maximisation, a word at a time."""
+    lam = {b: [1 / 3] * 3 for b in range(lm.BUCKETS)} | {0: [0.0, 0.5, 0.5]}
+    for b in {c[0] for c in cells}:
+        for _ in range(lm.ROUNDS):
+            part = [0.0] * 3
+            for _, *p, _ in (c for c in cells if c[0] == b):
+                x = [a * q for a, q in zip(lam[b], p)]
+                part = [a + q / sum(x) for a, q in zip(part, x)]
+            lam[b] = [x / sum(part) for x in part]
+    return {b: np.array(x) for b, x in lam.items()}
+
+
+def test_deleted_estimates_sum_to_one(spark, monkeypatch):
+    """A word's share among the words that aren't held out is divided by their number alone."""
+    seen = []
+    fit = lm._fit
+    monkeypatch.setattr(lm, "_fit", lambda n, u: seen.append((n, u)) or fit(n, u))
+    texts = [f"a{k % 7} b{k % 5} c{k}" for k in range(200)]
+    lm.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    held = 0
+    for t in texts:
+        h, row = K.words(pa.array([t], pa.string()))
+        held += 3 * bool(lm.held_out(np.array([3]), h, row)[0])
+    assert 0 < held < 600 and seen[0][0] == 600 - held and seen[0][1] == 1 / (1 + 7 + 5 + 200)
+
+
 def test_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(60)] + ["Été", "straße", "日本"]
