@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
+from factline.llm.common import plainly
 from factline.ship import ship
 
 #: The classifier is fitted on so many labelled documents a language at most,
@@ -21,8 +22,9 @@ SAMPLE, LEAST = 400, 3
 SEED = 31
 #: Byte trigrams are hashed into so many bits; every slot starts at ALPHA.
 BITS, ALPHA = 16, 0.5
-#: Rounds of expectation-maximisation over all languages, and over each set.
-ROUNDS, AGAIN = 8, 5
+#: A document's proportions are done once none moves by CLOSE in a round of
+#: expectation-maximisation, or after ROUNDS; languages of less than LEAST_SHARE of its words aren't listed.
+ROUNDS, CLOSE, LEAST_SHARE = 100, 1e-3, 0.005
 #: Each further language of a set costs so many times ln(words + 1).
 COST = 3.0
 #: The component of words that no language explains: every trigram alike.
@@ -83,22 +85,31 @@ def likelihoods(text: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, row
 
 
-def mixture(like: np.ndarray, row: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's proportions and log-likelihood: ``rounds`` of EM that start
-    from equal shares of the components ``allowed`` (component by document). ``like`` is relative to
+def mixture(like: np.ndarray, row: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's proportions and log-likelihood: EM from equal shares of the components
+    ``allowed`` (component by document) until it converges, for each document by itself. ``like`` is relative to
     each word's best component; documents' words are contiguous, each has one at least."""
     head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     size = np.diff(np.r_[head, len(row)])
     share = (allowed / allowed.sum(0)).astype(np.float32)
-    for step in range(rounds + 1):
-        part = np.repeat(share, size, axis=1)
-        part *= like
+    left, words, begin, n = np.arange(len(size)), like, head, size
+    for _ in range(ROUNDS):
+        part = np.repeat(share[:, left], n, axis=1)
+        part *= words
         total = part.sum(0)
         np.maximum(total, 1e-30, out=total)
-        if step == rounds:
-            return share, np.add.reduceat(np.log(total), head)
         part /= total
-        share = (np.add.reduceat(part, head, axis=1) / size).astype(np.float32)
+        new = (np.add.reduceat(part, begin, axis=1) / n).astype(np.float32)
+        moved = np.abs(new - share[:, left]).max(0) >= CLOSE
+        share[:, left] = new
+        if not moved.any():
+            break
+        if not moved.all():
+            words, left, n = words[:, np.repeat(moved, n)], left[moved], n[moved]
+            begin = np.cumsum(n) - n
+    part = np.repeat(share, size, axis=1)
+    part *= like
+    return share, np.add.reduceat(np.log(np.maximum(part.sum(0), 1e-30)), head)
 
 
 def infer(text: pa.Array, langs: list[str], table: np.ndarray):
@@ -113,7 +124,7 @@ def infer(text: pa.Array, langs: list[str], table: np.ndarray):
         return words, chosen
     like = np.exp(logs - logs.max(0))
     few = len(langs)
-    share, _ = mixture(like, row, np.ones((few + 1, len(docs)), np.float32), ROUNDS)
+    share, _ = mixture(like, row, np.ones((few + 1, len(docs)), np.float32))
     order = np.argsort(-np.round(share[:few], 6), axis=0, kind="stable")
     best, final = np.full(len(docs), -np.inf), np.zeros_like(share)
     size, cost = words[docs], COST * np.log(words[docs] + 1)
@@ -129,13 +140,13 @@ def infer(text: pa.Array, langs: list[str], table: np.ndarray):
         on = np.zeros(len(docs), bool)
         on[left] = True
         on = np.repeat(on, size)
-        got, fits = mixture(like[:, on], row[on], allowed, AGAIN)
+        got, fits = mixture(like[:, on], row[on], allowed)
         fits = fits - cost[left] * (m - 1)
         better = fits > best[left]
         now = left[better]
         best[now], final[:, now] = fits[better], np.where(allowed > 0, got, 0)[:, better]
     for k, d in enumerate(docs.tolist()):
-        got = [(langs[x], float(final[x, k])) for x in np.argsort(-final[:few, k], kind="stable") if final[x, k] > 0.005]
+        got = [(langs[x], float(final[x, k])) for x in np.argsort(-final[:few, k], kind="stable") if final[x, k] > LEAST_SHARE]
         chosen[d] = got
     return words, chosen
 
@@ -163,7 +174,8 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     language), and in none, where all trigrams are alike. Expectation-maximisation
     gives a document's proportions; sets of the 1, 2, ... strongest languages, up to all, are then
     fitted alone, and the one of the highest likelihood less ``COST`` ln(words + 1) for each further language
-    is chosen. Accepted is a document whose languages explain ``ACCEPT`` of its words.
+    is chosen. Each fit goes on until it has converged (``CLOSE``). Languages of up to ``LEAST_SHARE``
+    of the words aren't listed. Accepted is a document whose languages explain ``ACCEPT`` of its words.
 
     A null or wordless text (digits and signs are no words) has no languages and is not
     accepted. Without labels nothing is. Null ids and repeated rows give a row each; ties go to the
@@ -195,11 +207,13 @@ def keep_languages(docs: DataFrame, langs: tuple[str, ...] | None = None, id_col
     known, table = fit(*sample(docs, id_col, text_col, lang_col))
 
     def run(batches):
-        for t in K.chunks(batches, text_col, 2 << 20):
-            _, chosen = infer(t[text_col].combine_chunks(), known, table)
+        for t in K.chunks(batches, text, 2 << 20):
+            _, chosen = infer(t[text].combine_chunks(), known, table)
             good = [bool(c) and sum(s for _, s in c) >= ACCEPT and (langs is None or c[0][0] in langs) for c in chosen]
             yield from t.filter(pa.array(good, pa.bool_())).to_batches()
             del t, chosen
             K.trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    # Arrow functions take no columns with dots in their names.
+    plain, text = plainly(docs), f"c{docs.columns.index(text_col)}"
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -1,12 +1,16 @@
 """Operators that look at a row at a time, and secret scans: nulls, empty and
 long texts, repeated rows, clashing names, empty tables, and planted cases."""
 
+import hashlib
 import html as entities
+from collections import Counter
 from html.parser import HTMLParser
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factline.llm import html as H
 from factline.llm import langid, licenses, mixing, quality, secrets
@@ -55,7 +59,7 @@ def test_empty_table_and_clashing_columns(spark, op):
 def test_verdicts(spark):
     got = {(r["doc_id"], r["rule"]): (r["verdict"], r["occurrences"], r["n_owners"], r["n_repositories"]) for r in secrets.secret_scan(spark.createDataFrame(ROWS, SCHEMA)).collect()}
     assert got[1, "github_token"] == ("example", 2, 3, 3) and got[3, "github_token"][0] == "example"
-    assert got[5, "aws_access_key"] == ("made_up", 2, 1, 2) or got[5, "aws_access_key"][0] in ("shared", "made_up")
+    assert got[5, "aws_access_key"] == ("made_up", 2, 1, 2)
     assert got[6, "assignment"][0] == "made_up"
     assert got[7, "aws_access_key"][2:] == (0, 0)
     assert got[8, "aws_access_key"][0] == "live"
@@ -63,7 +67,7 @@ def test_verdicts(spark):
 
 def test_licenses(spark):
     got = {(r["doc_id"], r["rule"]) for r in licenses.license_scan(spark.createDataFrame(ROWS, SCHEMA)).collect()}
-    assert {(8, "mit_name"), (9, "apache2_header"), (9, "apache2_name")} <= got and len(got) == 3
+    assert got == {(8, "mit_name"), (9, "apache2_header")}
 
 
 def test_poisson_counts_follow_the_rate(spark):
@@ -102,6 +106,89 @@ def test_language_mixtures(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is None or r["doc_id"] >= 100) == [(False, 100), (False, 100), (False, 101), (False, 102), (True, None)]
 
 
+def mixture_brute(texts, labels):
+    """Languages and proportions of each text by plain Python, a word at a time."""
+    import math
+    import re
+
+    def word_slots(text):
+        raw = re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode())
+        at = lambda i: raw[i] if 0 <= i < len(raw) else 32
+        slot = lambda i: ((at(i - 1) << 16 | at(i) << 8 | at(i + 1)) * 2654435761 % 2**32) >> (32 - langid.BITS)
+        return [[slot(i) for i in range(*m.span())] for m in re.finditer(rb"[^ ]+", raw)]
+
+    langs = sorted({x for x in labels if x and labels.count(x) >= langid.LEAST})
+    logs = []
+    for x in langs:
+        # Texts of a language are one after the other, without a gap between them.
+        n = Counter(s for w in word_slots_joined(word_slots, [t for t, y in zip(texts, labels) if y == x]) for s in w)
+        total = sum(n.values()) + langid.ALPHA * 2**langid.BITS
+        logs.append({s: math.log((k + langid.ALPHA) / total) for s, k in n.items()} | {None: math.log(langid.ALPHA / total)})
+    out = []
+    for t in texts:
+        words = word_slots(t or "")
+        like = [[sum(g.get(s, g[None]) for s in w) for g in logs] + [-len(w) * langid.BITS * math.log(2)] for w in words]
+        like = [[math.exp(x - max(w)) for x in w] for w in like]
+
+        def em(allowed):
+            share = [1 / sum(allowed) * a for a in allowed]
+            for _ in range(500):
+                part = [0.0] * len(share)
+                for w in like:
+                    z = [a * b for a, b in zip(share, w)]
+                    part = [p + x / max(sum(z), 1e-30) for p, x in zip(part, z)]
+                share, old = [p / len(like) for p in part], share
+                if max(abs(a - b) for a, b in zip(share, old)) < 1e-6:
+                    break
+            return share, sum(math.log(max(sum(a * b for a, b in zip(share, w)), 1e-30)) for w in like)
+
+        if not like:
+            out.append({})
+            continue
+        every, _ = em([1] * (len(langs) + 1))
+        order = sorted(range(len(langs)), key=lambda k: -round(every[k], 6))
+        best = None
+        for m in range(1, len(langs) + 1):
+            share, fits = em([int(k in order[:m]) for k in range(len(langs))] + [1])
+            fits -= langid.COST * math.log(len(like) + 1) * (m - 1)
+            if best is None or fits > best[0]:
+                best = fits, share
+        out.append({langs[k]: best[1][k] for k in order if best[1][k] > langid.LEAST_SHARE})
+    return out
+
+
+def word_slots_joined(word_slots, texts):
+    """Words of texts that lie one after the other: the first and last byte of each see their neighbours, words end there."""
+    joined = "".join(texts)
+    slots, at, out = word_slots(joined), 0, []
+    flat = [s for w in slots for s in w]
+    for t in texts:
+        for w in word_slots(t):
+            out.append(flat[at : at + len(w)])
+            at += len(w)
+    return out
+
+
+def test_mixtures_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    some = lambda x, k: " ".join([r["text"] for r in rows if r["lang"] == x][k].split()[:40])
+    langs = sorted({r["lang"] for r in rows})
+    mixed = [(-1, some(langs[0], 0) + " " + some(langs[1], 1), None), (-2, " ".join(some(x, 2) for x in langs), None), (-3, None, None), (-4, "12 34", None)]
+    every = [*map(tuple, rows), *mixed]
+    want = mixture_brute([t for _, t, _ in every], [x for *_, x in every])
+    got = {r["doc_id"]: r for r in langid.language_mixture(spark.createDataFrame(every, "doc_id long, text string, lang string")).collect()}
+    for (i, *_), w in zip(every, want):
+        assert dict(zip(got[i]["languages"], got[i]["proportions"])) == pytest.approx(w, abs=0.02), i
+        assert got[i]["accepted"] == (sum(w.values()) >= langid.ACCEPT)
+
+
+def test_a_tie_of_languages_goes_to_the_first_code(spark):
+    rows = [(k, "alpha beta gamma delta", x) for k, x in enumerate(("bb", "aa") * 4)] + [(100, "alpha beta " * 30_000, None)]
+    got = {r["doc_id"]: r for r in langid.language_mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100]["lang"] == "aa" and got[100]["n_words"] == 60_000 and got[100]["accepted"]
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1")
@@ -267,8 +354,6 @@ def test_mixtures_of_many_languages(monkeypatch):
 
 
 def test_secrets_of_prefixed_names(spark):
-    import hashlib
-
     value = "q7Rt2Zp9Lk4Wm8Vx"
     named = ["DB_PASSWORD={}", "AWS_SECRET_ACCESS_KEY = '{}'", "client_secret: {}", 'x.dbPassword = "{}";', '{{"my_api_key": "{}"}}', "--app_token={}", "\nexport GH_TOKEN={}\n"]
     rows = [(k, t.format(value), "o/r") for k, t in enumerate(named)]
@@ -277,3 +362,55 @@ def test_secrets_of_prefixed_names(spark):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = [(k, "assignment", sha(value), 1, "live") for k in [*range(len(named)), 53]] + [(50, "github_token", sha(TOKEN), 1, got[len(named)][4])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("op,cols", [(secrets.secret_scan, {"repo_col": "m.n"}), (licenses.license_scan, {}), (quality.quality_rules, {}), (langid.language_mixture, {"lang_col": "m.n"})], ids=["secrets", "licenses", "quality", "languages"])
+def test_names_with_dots(spark, op, cols):
+    df = spark.createDataFrame([(1, f"x {TOKEN}.\nLicensed under the MIT License.", "en", 3)], "`a.b` long, `c.d` string, `m.n` string, `x.y` int")
+    out = op(df, id_col="a.b", text_col="c.d", **cols)
+    assert [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_mixing_names_with_dots(spark):
+    df = spark.createDataFrame([(k, "t", "a", 3) for k in range(30)], "`a.b` long, text string, `m.n` string, `x.y` int")
+    out = mixing.mix_sources(df, id_col="a.b", source_col="m.n")
+    assert out.columns == ["a.b", "text", "m.n", "x.y", "copy_no", "shuffle_key"] and out.count() > 10
+
+
+@pytest.mark.parametrize("rate", [0.3, 7.5, 1000.0, 10_000.0])
+def test_poisson_of_any_rate(spark, rate):
+    u = np.random.default_rng(3).random(4000)
+    n = np.array([mixing.poisson(rate, x) for x in u])
+    assert abs(n.mean() - rate) < 5 * (rate / len(n)) ** 0.5 and n.var() == pytest.approx(rate, rel=0.12)
+    assert [mixing.poisson(0.0, 0.5), mixing.poisson(0.3, 0.5), mixing.poisson(0.3, 0.75)] == [0, 0, 1]
+
+
+def test_a_lone_row_of_a_large_weight(spark):
+    rows = [(k, "t", "en", "a", 1) for k in range(2000)] + [(9000, "rare", "en", "b", 1), (9001, "never", "en", "c", 1), (9002, "none", "en", None, 1)]
+    weights = {"a": 0.25, "b": 0.75, "c": 0.0}
+    out = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), weights, size=8.0)
+    u = lambda i: (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    want = Counter()
+    for i, _, _, s, _ in rows:
+        want[i] = mixing.poisson(8.0 * len(rows) * weights.get(s, 0) / {"a": 2000}.get(s, 1), u(i))
+    got = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == +want and want[9000] > 11_000
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in got)
+    assert mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), {"a": 0.0}).collect() == []
+
+
+def test_one_owner_in_several_repositories_is_live(spark):
+    key = lambda k: f"AKIA{'QZXW7PLM3KJH5TRD'[k:]}{'QZXW7PLM3KJH5TRD'[:k]}"
+    rows = [(1, key(0), "me/r1"), (2, key(0), "me/r2"), (3, key(1), "me/r1"), (4, key(1), "you/r1"), (5, key(2), "a/x"), (6, key(2), "b/x"), (7, key(2), "c/x"), (8, "token = aabbaabbccaabbddeeff", "me/r1"), (9, "token = " + "z" * 50_000, "me/r1")]
+    got = {r["doc_id"]: (r["verdict"], r["n_owners"], r["n_repositories"]) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[k] for k in (1, 2)] == [("live", 1, 2)] * 2 and got[3] == got[4] == ("shared", 2, 2) and got[5] == ("example", 3, 3)
+    assert got[8][0] == got[9][0] == "made_up"
+
+
+def test_license_rules_take_their_sentences_away(spark):
+    mit = " ".join(x if x.endswith(":") else x + "." for x in (licenses.SENTENCES[i][0] for i in ("MIT_GRANT", "MIT_NOTICE", "AS_IS")))
+    grant = licenses.SENTENCES["MIT_GRANT"][0]
+    rows = [(1, "MIT License\n\n" + mit), (2, mit + "\n" + grant), (3, mit + "\n" + mit), (4, mit + "\nApache License, Version 2.0\n"), (5, "SPDX-License-Identifier: BSD-3-Clause\ncode"), (6, "# Licensed under the Eclipse Public License 2.0\n# All rights reserved."), (7, "GPL " * 50_000 + "\nISC License\n")]
+    got = {(r["doc_id"], r["rule"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "mit_text"), (1, "mit_name"), (2, "mit_text"), (2, "mit_grant"), (3, "mit_text"), (4, "mit_text"), (4, "apache_2_0_name"), (5, "bsd_3_clause_name"), (6, "epl_2_0_name"), (6, "reserved"), (7, "isc_name")}
+    assert len({x for _, x, _ in licenses.RULES}) >= 65
