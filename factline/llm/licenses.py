@@ -76,17 +76,22 @@ NAMES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
 }
-#: A name alone or in one of these is a sentence that says so.
-SAYING = ("{}", "the {}", "{} (the \"License\")", *(f"{v} under {x}{{}}" for v in ("Licensed", "Released", "Distributed", "Available", "This project is licensed", "This work is licensed", "This software is licensed", "This file is licensed", "This package is licensed", "This program is licensed", "This library is licensed", "This code is licensed", "This project is released", "This software is released") for x in ("", "the ", "the terms of the ")), "Licensed under the {} (the \"License\")", "This work is dedicated to the public domain under {}")
+#: A sentence is a name with one of these before it and behind it.
+VERBS = ("licensed", "released", "distributed", "available", "this project is licensed", "this work is licensed", "this software is licensed", "this file is licensed", "this package is licensed", "this program is licensed", "this library is licensed", "this code is licensed", "this project is released", "this software is released")
+BEFORE = ("", "the ", *(f"{v} under {x}" for v in VERBS for x in ("", "the ", "the terms of the ")), "this work is dedicated to the public domain under ")
+BEHIND = ("", " the license")
+#: The same as expressions, over words with one space between them.
+_BEFORE, _BEHIND = f"(?:this work is dedicated to the public domain under |(?:{'|'.join(VERBS)}) under (?:the (?:terms of the )?)?|the )", " the license"
 
 
 def _ident(spdx: str) -> str:
     return re.sub("[^A-Z0-9]+", "_", spdx.upper()) + "_NAME"
 
 
-def _named(spdx: str) -> tuple[str, ...]:
-    """Sentences that name a licence, and its identifier line; a plain word is none."""
-    return (f"Licensed under the {NAMES[spdx][0]}", *(s.format(n) for n in NAMES[spdx] for s in SAYING), *(f"SPDX-License-Identifier: {x}" for x in (spdx, *((f"{spdx}-only",) if spdx[-2:] == ".0" and "GPL" in spdx or spdx == "LGPL-2.1" else ()))))
+def _lines(spdx: str) -> tuple[str, ...]:
+    """A licence's identifier lines."""
+    only = "GPL" in spdx and not spdx.endswith("later")
+    return tuple(f"SPDX-License-Identifier: {x}" for x in (spdx, f"{spdx}-only"))[: 1 + only]
 
 
 _FREE = "{} is free software{} you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation"
@@ -129,11 +134,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "ZLIB_GRANT": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
     "UNLICENSE": ("This is free and unencumbered software released into the public domain",),
     "RESERVED": ("All rights reserved",),
-} | {_ident(x): _named(x) for x in NAMES}
-for _x in ("Apache-2.0", "MPL-2.0", "BSL-1.0"):
-    # What a longer identifier's own sentence says isn't a name as well.
-    _taken = {s.lower() for k in ("MPL2", "BOOST_USE") for s in SENTENCES[k]}
-    SENTENCES[_ident(_x)] = tuple(s for s in SENTENCES[_ident(_x)] if s.lower() not in _taken)
+} | {_ident(x): (*names, *_lines(x)) for x, names in NAMES.items()}
 
 #: (rule, licence, identifiers that must occur in this order, gaps allowed), the first to try first.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
@@ -184,9 +185,13 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-KNOWN: dict[str, str] = {normal(s): k for k, many in SENTENCES.items() for s in many}
+#: What a sentence may be in full, and, for names, without what is before and behind.
+PLAIN: dict[str, str] = {normal(s): k for k, many in SENTENCES.items() for s in many}
+_NAME = {normal(n) for many in NAMES.values() for n in many}
+#: All known sentences, spelt out.
+KNOWN: dict[str, str] = {f"{a}{n}{z}": PLAIN[n] for n in _NAME for a in BEFORE for z in BEHIND} | PLAIN
 _LOOSE = [s for many in SENTENCES.values() for s in many if not any(a in s.lower() for a in ANCHORS)]
-_TWICE = [s for k, many in SENTENCES.items() for s in many if KNOWN[normal(s)] != k]
+_TWICE = [s for k, many in SENTENCES.items() for s in many if PLAIN[normal(s)] != k]
 if _LOOSE or _TWICE:
     raise ValueError(f"sentences without an anchor: {_LOOSE}; with two identifiers: {_TWICE}")
 
@@ -209,14 +214,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one projection: nothing is shuffled, and texts without any anchor word
     (a lossless test) aren't split.
     """
-    known = F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv))
+    known = F.create_map(*(F.lit(x) for kv in PLAIN.items() for x in kv))
     t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("x"))
     t = t.filter(F.col("x").rlike("(?i)" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)))
     marked = F.lower("x")
     for place, mark in ((HARD, "H"), (QUOTED, "SlicenseS"), (SOFT, "S"), ("[^a-z0-9HS]+", " ")):
         marked = F.regexp_replace(marked, place, mark)
     hits = F.regexp_extract_all(F.concat(F.lit("H"), marked, F.lit("H")), F.lit(_any_known()), F.lit(0))
-    found = F.transform(hits, lambda s: F.try_element_at(known, F.regexp_replace(s, "[ S]+", " ")))
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, "^" + _BEFORE, ""), _BEHIND + "$", "")
+    words = F.transform(hits, lambda s: F.regexp_replace(s, "[ S]+", " "))
+    found = F.transform(words, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, bare(s))))
     t = t.select("doc_id", F.array_join(found, " ").alias("identifiers")).filter(F.col("identifiers") != "")
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"), F.lit(len(ids)).alias("n_sentences"), F.lit(f" {ids[0]} ").alias("first"), F.lit(_pattern(ids)).alias("pattern"), F.lit(_rest(ids)).alias("rest")) for r, lic, ids in RULES))
     start = F.struct(F.concat(F.lit(" "), F.regexp_replace("identifiers", " ", "  "), F.lit(" ")).alias("left"), F.array().cast("array<struct<rule:string,license:string,n_sentences:int>>").alias("hits"))
@@ -231,11 +238,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _any_known() -> str:
     """Any known sentence between two ends, the longest first."""
-    by: dict[str, list[str]] = {}
-    for k in sorted(KNOWN, key=len, reverse=True):
-        head, _, tail = k.partition(" ")
-        by.setdefault(head, []).append("[ S]+" + tail.replace(" ", "[ S]+") if tail else "")
-    return "(?<=[HS]|[HS] )(?:" + "|".join(f"{h}(?:{'|'.join(x)})" for h, x in by.items()) + ")(?= ?[HS])"
+
+    def one_of(texts) -> str:
+        by: dict[str, list[str]] = {}
+        for k in sorted(texts, key=len, reverse=True):
+            head, _, tail = k.partition(" ")
+            by.setdefault(head, []).append(f" {tail}" if tail else "")
+        return "(?:" + "|".join(f"{h}(?:{'|'.join(x)})" for h, x in by.items()) + ")"
+
+    known = f"(?:{one_of(set(PLAIN) - _NAME)}|{_BEFORE}?{one_of(_NAME)}(?:{_BEHIND})?)"
+    return "(?<=[HS]|[HS] )" + known.replace(" ", "[ S]+") + "(?= ?[HS])"
 
 
 def _pattern(ids: tuple[str, ...]) -> str:

@@ -407,6 +407,13 @@ def test_one_owner_in_several_repositories_is_live(spark):
     assert got[8][0] == got[9][0] == "made_up"
 
 
+def test_all_spellings_of_license_names(spark):
+    rows = list(licenses.KNOWN)
+    assert len(rows) > 10_000
+    got = licenses.license_scan(spark.createDataFrame([(k, k) for k in rows], "doc_id string, text string"))
+    assert {r["doc_id"]: r["identifiers"] for r in got.collect()} == {k: v for k, v in licenses.KNOWN.items() if any(ids == (v,) for *_, ids in licenses.RULES)}
+
+
 def test_license_rules_take_their_sentences_away(spark):
     mit = " ".join(x if x.endswith(":") else x + "." for x in (licenses.SENTENCES[i][0] for i in ("MIT_GRANT", "MIT_NOTICE", "AS_IS")))
     grant = licenses.SENTENCES["MIT_GRANT"][0]
