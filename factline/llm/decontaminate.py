@@ -32,7 +32,7 @@ COMMON, PRIOR = 0.05, 1000
 #: are weak: the cosine can miss them, so they are searched for by their words. Of
 #: items with so few weighted words, shorter ones than SHORT must be there to SURE.
 WEAK, SHORT = 0.25, 16
-#: Shorter items are not searched for: a few words are no evidence.
+#: Shorter items, of whose words any text has a few in order, must be there word for word.
 LEAST_WORDS = 5
 #: Bytes of items that are searched for in one go; more take several.
 ITEM_BYTES = 8 << 20
@@ -46,6 +46,8 @@ class Items:
     vocab: np.ndarray
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    #: Items of fewer than LEAST_WORDS words, and these.
+    short: list[tuple[object, np.ndarray]]
 
 
 def answer_of(text: str) -> str:
@@ -63,10 +65,11 @@ def items_of(rows: list) -> Items:
     h, row = K.words(pa.array(texts, pa.string()))
     ah, arow = K.words(pa.array([answer_of(t) for t in texts], pa.string()))
     vocab = np.unique(h)
-    place = lambda x: np.searchsorted(vocab, x)
-    each = [(place(h[row == k]), place(ah[arow == k])) for k in range(len(rows))]
+    cut = lambda x, at: np.split(np.searchsorted(vocab, x), np.searchsorted(at, np.arange(1, len(rows))))
+    each = list(zip(cut(h, row), cut(ah, arow))) if rows else []
     keep = [k for k, (w, _) in enumerate(each) if len(w) >= LEAST_WORDS]
-    return Items([rows[k][0] for k in keep], vocab, [each[k][0] for k in keep], [each[k][1] for k in keep])
+    short = [(rows[k][0], w) for k, (w, _) in enumerate(each) if 0 < len(w) < LEAST_WORDS]
+    return Items([rows[k][0] for k in keep], vocab, [each[k][0] for k in keep], [each[k][1] for k in keep], short)
 
 
 def known_words(docs: DataFrame, vocab: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -260,12 +263,29 @@ def weak_items(items: Items, weight: np.ndarray, df: np.ndarray) -> dict[int, tu
     told = np.array([(weight[w] > 0).mean() for w in items.words])
     mass = np.array([(weight[w] ** 2).mean() for w in items.words])
     out = {}
+    if not items.words:
+        return out
     for i in np.flatnonzero((told < WEAK) | (mass < WEAK * np.median(mass))).tolist():
         w, common = items.words[i], bool(told[i] < WEAK)
         out[i] = np.unique(w[(weight[w] > 0) | (common & (df[w] <= np.median(df[w])))]), common
     return out
 
 
+def _run_key(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers."""
+    key = np.zeros(len(words), np.uint64)
+    for w in words.T:
+        key = K.mix(key + w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def _least_mass(words: np.ndarray, mass: np.ndarray) -> float:
+    """The least weight that words can have in all which pass :func:`verdict` for an
+    item: that of the lightest ``RARE`` of its words with weight."""
+    own = np.sort(mass[words[mass[words] > 0]])
+    return float(own[: math.ceil(RARE * len(own) - 1e-9)].sum())
+
+
 def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray):
     rare = weight > 0
     word_vec = (weight[:, None] * space).astype(np.float32)
@@ -277,7 +297,7 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
             continue
         vec = np.stack([word_vec[items.words[i]].sum(0) for i in own])
         norm = np.linalg.norm(vec, axis=1, keepdims=True)
-        mass = min((float(mass_of[items.words[i]].sum()) for i in own), default=0.0)
+        mass = min(_least_mass(items.words[i], mass_of) for i in own)
         by[size] = own, (vec / np.maximum(norm, 1e-30)).T.astype(np.float32), mass
 
     def candidates(doc, pos, at):
@@ -291,19 +311,20 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
             half = size // 2
             cell = p // half
             head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (cell[1:] != cell[:-1])])
-            # Room for two empty cells between documents; only filled cells are kept.
+            # Two empty cells before each document and two behind it; only filled cells are kept.
             last = np.zeros(int(d[-1]) + 1, np.int64)
             np.maximum.at(last, d, cell)
-            base = np.r_[0, np.cumsum(last + 3)][:-1]
-            where = base[d[head]] + cell[head]
-            n = int(where[-1]) + 3
+            base = np.r_[0, np.cumsum(last + 5)][:-1]
+            where = base[d[head]] + cell[head] + 2
+            n = int(where[-1]) + 4
             slot = np.full(n + 2, len(head))
             slot[where] = np.arange(len(head))
             m = np.r_[np.add.reduceat(mass_of[a], head), 0.0]
-            total = m[slot[:-2]] + m[slot[1:-1]] + m[slot[2:]]
-            # Windows begin at -2 cells too, so that each cell is in three of them.
-            starts = np.unique(np.concatenate([where, np.maximum(where - 1, 0), np.maximum(where - 2, 0)]))
-            starts = starts[total[starts] >= LCS * COSINE * mass]
+            # Windows begin up to two cells before a document too, so that each cell is in three of them.
+            starts = np.unique(np.concatenate([where, where - 1, where - 2]))
+            # What the exact checks look at: the window and a margin, which is less than a cell, on either side.
+            total = sum(m[slot[starts + k]] for k in range(-1, 4))
+            starts = starts[total >= mass * (1 - 1e-9)]
             for lo in range(0, len(starts), 20_000):
                 s = starts[lo : lo + 20_000]
                 cells = np.unique(np.concatenate([slot[s], slot[s + 1], slot[s + 2]]))
@@ -321,7 +342,7 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
                 cos = (v @ unit) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
                 x, y = np.nonzero(cos >= COSINE)
                 owner = np.searchsorted(base, s[x], "right") - 1
-                yield from zip(owner.tolist(), ((s[x] - base[owner]) * half).tolist(), [3 * half] * len(x), own[y].tolist(), cos[x, y].tolist())
+                yield from zip(owner.tolist(), ((s[x] - base[owner] - 2) * half).tolist(), [3 * half] * len(x), own[y].tolist(), cos[x, y].tolist())
 
     size_of_item = {int(i): size for size, own in classes(items.words).items() for i in own}
 
@@ -350,8 +371,24 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
             for x in starts[total >= need].tolist():
                 yield x // stride, (x % stride - 2) * half, 3 * half, i, mark
 
-    def cosine(item, seen):
-        a, b = word_vec[items.words[item]].sum(0), word_vec[seen].sum(0)
+    runs: dict[int, dict[int, list[int]]] = {}
+    for k, (_, w) in enumerate(items.short):
+        runs.setdefault(len(w), {}).setdefault(_run_key(w[None, :])[0], []).append(k)
+    wanted = {n: np.array(sorted(x), np.uint64) for n, x in runs.items()}
+
+    def word_for_word(doc, pos, at):
+        """(document, short item) where its words stand one after the other."""
+        for n, keys in wanted.items():
+            if len(at) < n:
+                continue
+            here = np.flatnonzero((doc[n - 1 :] == doc[: len(doc) - n + 1]) & (pos[n - 1 :] - pos[: len(pos) - n + 1] == n - 1))
+            key = _run_key(at[here[:, None] + np.arange(n)])
+            hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+            for x, k in zip(doc[here[hit]].tolist(), key[hit].tolist()):
+                yield from ((x, i) for i in runs[n][k])
+
+    def cosine(words, seen):
+        a, b = word_vec[words].sum(0), word_vec[seen].sum(0)
         return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-30))
 
     def search(batches):
@@ -372,11 +409,12 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
                 got = verdict(items.words[item], items.answers[item], mark, seen)
                 if not got or got[0] < SURE and weak[item][1] and len(items.words[item]) < SHORT:
                     continue
-                cos = cosine(item, seen)
+                cos = cosine(items.words[item], seen)
                 if (d, item) not in best or (got[0], cos) > best[d, item][::2]:
                     best[d, item] = (got[0], got[1], cos)
-            if best:
-                rows = [(ids[d].as_py(), items.ids[i], c, s, t) for (d, i), (s, t, c) in sorted(best.items())]
+            rows = [(ids[d].as_py(), items.ids[i], c, s, t) for (d, i), (s, t, c) in sorted(best.items())]
+            rows += [(ids[d].as_py(), items.short[i][0], cosine(w := items.short[i][1], w), 1.0, 1.0) for d, i in sorted(set(word_for_word(doc, pos, at)))]
+            if rows:
                 yield rows
             del doc, pos, at, begin
             K.trim()
@@ -400,9 +438,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     weight (:func:`weak_items`) have no useful cosine: every window that holds enough of their rarer words
     goes through these checks.
 
-    Null and empty texts hold no leak; items that are null or of fewer than
-    ``LEAST_WORDS`` words are not searched for. Null ids and repeated rows give rows of their
-    own; other columns are ignored; an empty table on either side gives an empty one.
+    Before the cosine, windows go that can't hold enough of any item's weight to pass these checks.
+    Items of fewer than ``LEAST_WORDS`` words are found where they stand word for word.
+
+    Null and empty texts hold no leak; items without a word are not searched for. Null ids and repeated rows give rows of their
+    own, and so do items that share an id; other columns are ignored; an empty table on either side gives an empty one.
     Only items are held in memory (``ITEM_BYTES`` at a time); documents are read once,
     and kept as the places of words that some item has.
     """
@@ -419,14 +459,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def _part(docs: DataFrame, b: DataFrame, id_col: str, text_col: str, schema: T.StructType) -> DataFrame:
     items = items_of(sorted(map(tuple, b.collect()), key=repr))
-    if not items.words:
+    if not items.words and not items.short:
         return docs.sparkSession.createDataFrame([], schema)
     known = known_words(docs, items.vocab, id_col, text_col)
     df, energy, n = document_counts(known, len(items.vocab))
     weight = np.where(df <= COMMON * (n + PRIOR), np.log((n + PRIOR) / (df + 1)), 0.0)
-    own = np.bincount(np.concatenate(items.words), minlength=len(weight))
+    own = np.bincount(np.concatenate([*items.words, np.zeros(0, np.int64)]), minlength=len(weight))
     weight = weight / np.sqrt(np.maximum(energy + own, 1)) ** 0.5
-    space, _ = randomised_svd(known, weight, items.words)
+    space = randomised_svd(known, weight, items.words)[0] if items.words else np.ones((len(weight), 1))
     search = _search(items, weight, space, df)
     names = schema.names
     from pyspark.sql.pandas.types import to_arrow_type

@@ -127,3 +127,19 @@ def test_items_of_common_words_are_found(spark):
     assert want <= got
     assert {x for x in got if x[1] < 2} == {x for x in want if x[1] < 2}
     assert D.remove_leaks(df, bench).filter("doc_id % 5 = 0").count() == 0
+
+
+def test_short_items_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "two plus two is"), (2, "zebra"), (3, "red  RED, rose"), (3, "two"), (4, "is two")], "item_id long, text string")
+    docs = [(1, "well, two plus two is four"), (2, "two plus one two is"), (3, "a red rose"), (4, "Red red rose. Zebra"), (5, "what is two plus two"), (6, "long " * 60_000 + "zebra"), (7, None)]
+    got = sorted((r["doc_id"], r["item_id"]) for r in D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(1, 1), (1, 3), (2, 3), (4, 2), (4, 3), (5, 3), (5, 4), (6, 2)]
+
+
+def test_items_at_the_beginning_of_a_document(spark):
+    rng = random.Random(21)
+    items = [(k, words(rng, 12)) for k in range(12)]
+    docs = [(d, " ".join(items[d % 12][1] + words(rng, 300))) for d in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(df, bench).collect()}
+    assert {(d, d % 12) for d, _ in docs} <= got
