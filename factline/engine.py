@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factline.functions.scalars import finding_id
+from factline.operators import audit as A
 from factline.operators import extract, facts, graph
 from factline.operators.interpret import interpret
 from factline.operators.rules import Rule
@@ -13,11 +14,10 @@ from factline.sources.files import mentions, scan_files, select_files
 
 #: Query types that are a tool and a kind.
 PRESET = {"as-any": ("type-safety", "AS_ANY_CAST"), "hook-calls": ("hooks", "HOOK_CALL"), "effect-locations": ("effects", "EFFECT_LOCATION")}
-#: kind -> finding, category. What is missing here is no finding.
+#: kind -> finding. What is missing here is no finding.
 FINDINGS = {
-    "AS_ANY_CAST": ("as-any", "type-safety"), "NON_NULL_ASSERTION": ("non-null", "type-safety"), "CATCH_ERROR_ANY": ("catch-any", "type-safety"), "JSON_PARSE_CALL": ("unguarded-json", "storage"), "DIRECT_STORAGE_CALL": ("direct-storage", "storage"),
-    "PROCESS_ENV_ACCESS": ("raw-env", "env"), "RAW_ROLE_CHECK": ("raw-role", "authz"), "RAW_DATE_CONSTRUCTOR": ("raw-date", "dates"), "TIMER_RACE": ("timer-race", "effects"), "DERIVED_STATE": ("derived-state", "effects"), "DEAD_EXPORT": ("dead-export", "dead-code"),
-    "CIRCULAR_DEPENDENCY": ("circular-dep-runtime", "dead-code"), "COMPLEXITY_HOTSPOT": ("complexity-hotspot", "complexity"),
+    "AS_ANY_CAST": "as-any", "NON_NULL_ASSERTION": "non-null-assertion", "TRUST_BOUNDARY_CAST": "trust-boundary-gap", "JSON_PARSE_CALL": "trust-boundary-gap", "RAW_ROLE_CHECK": "RAW_ROLE_CHECK", "TIMER_RACE": "eliminable-effect", "DERIVED_STATE": "eliminable-effect",
+    "EVENT_HANDLER_DISGUISED": "eliminable-effect", "DEAD_EXPORT": "dead-export", "CIRCULAR_DEPENDENCY": "circular-dep", "COMPLEXITY_HOTSPOT": "complexity-hotspot", "UNBRANDED_ID_PARAM": "branded-type-gap", "DIRECT_STORAGE_CALL": "direct-storage", "PROCESS_ENV_ACCESS": "raw-env", "RAW_DATE_CONSTRUCTOR": "raw-date", "CATCH_ERROR_ANY": "catch-any",
 }
 
 
@@ -114,17 +114,22 @@ class Engine:
         out = streams[0]
         for s in streams[1:]:
             out = out.unionByName(s)
-        out = out.select(cols).withColumns({"finding": facts.lookup(F.col("kind"), {k: v[0] for k, v in FINDINGS.items()}), "category": facts.lookup(F.col("kind"), {k: v[1] for k, v in FINDINGS.items()})})
+        out = out.select(cols).withColumn("finding", facts.lookup(F.col("kind"), FINDINGS))
         out = out.filter("finding IS NOT NULL AND confidence <> 'low'").withColumn("id", finding_id(F.col("file"), F.col("line"), F.col("finding")))
         rank = facts.lookup(F.col("confidence"), {"high": 3, "medium": 2}, 1)
         out = facts.dedupe(out, ["id"], [F.desc(rank), F.asc("kind"), F.asc("name")])
-        ranked = interpret(out.drop("kind", "confidence").withColumn("observed", F.lit(True)), "priority", Rule("P4", "true"))
-        return ranked.select("id", "finding", F.col("kind").alias("priority"), "category", "file", "line", "name", "metric")
-
-    def audit(self, least: str = "P5", previous: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Findings of priority ``least`` or above in order, and their difference from a previous run's."""
+        word = A.evidence(F.col("kind"), F.col("file"), F.col("line"), F.col("name"), F.col("metric"))
+        out = out.withColumns({"evidence": word, "category": A.category(F.col("finding")), "track": A.track(F.col("file")), "sub_kind": F.lit(None).cast("string"), "risk": F.lit(None).cast("string"), "is_type_only": F.lit(False)})
+        ranked = interpret(out.drop("kind"), "priority", Rule("P4", "true"))
+        return ranked.select("id", "finding", F.col("kind").alias("priority"), "category", "track", "file", "line", "name", "metric", "evidence")
+
+    def audit(self, least: str = "P5", previous: DataFrame | None = None, track: str | None = None) -> dict[str, DataFrame]:
+        """Findings of priority ``least`` or above (of one track, "fe" or "bff", if given) in order, their number by
+        track and priority, and their difference from a previous run's."""
         found = facts.priority_cut(self.findings(), least)
+        found = found.filter(F.col("track") == track) if track else found
         out = {"findings": found.orderBy(facts.rank_of(F.col("priority")), "file", "line")}
+        out["summary"] = found.groupBy("track").pivot("priority", [f"P{k}" for k in range(1, 6)]).count().fillna(0)
         if previous is not None:
             out["diff"] = facts.run_diff(previous, found, "id", "priority").filter("state <> 'same'")
         return out

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from factline.functions import scalars as S
 from factline.operators import graph
+from factline.operators.audit import OTHER_WEIGHT, PLAN_BLOCKERS, PLAN_WEIGHTS
 from factline.operators.facts import lookup
 from factline.operators.interpret import interpret
 from factline.operators.windows import as_of, fence_mask, leading_run, parent_by_depth
 from factline.sources.files import lines_of
 
 BY, ORDER = ["path"], ["line"]
-#: What a missing or doubtful thing costs a plan; unlisted kinds cost 5.
-WEIGHTS = {"MISSING_PROMPT_FILE": 15, "DEPENDENCY_CYCLE": 25, "UNKNOWN_DEPENDENCY": 10, "MISSING_HEADER": 5, "MISSING_SECTION": 10, "OPEN_TASK": 0}
-BLOCKERS = ("DEPENDENCY_CYCLE",)
+#: Sections whose lack has a kind of its own.
+SECTION_KINDS = {"Verification": "VERIFICATION_BLOCK_MISSING"}
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
@@ -38,10 +38,16 @@ def marked_lines(docs: DataFrame) -> DataFrame:
 def headings(docs: DataFrame) -> DataFrame:
     """Headings with the line of their parent and the role they have or inherit."""
     h = parent_by_depth(marked_lines(docs).filter("depth IS NOT NULL"), BY, "line", "depth", 6).select("path", "line", "depth", "title", "parent", "own_role")
-    h = h.withColumn("role", F.col("own_role"))
-    for _ in range(5):  # depths are 1 to 6
-        up = h.select("path", F.col("line").alias("parent"), F.col("role").alias("above"))
-        h = h.join(up, ["path", "parent"], "left").withColumn("role", F.coalesce("role", "above")).drop("above")
+    # A heading's ancestors are the last ones of lesser depths above it: the nearest role among
+    # them is the last of its depth that no shallower heading has followed since.
+    by = W.partitionBy(*BY).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    at = [F.last(F.when(F.col("depth") <= d, F.struct("depth", "line", "own_role")), ignorenulls=True).over(by) for d in range(1, 7)]
+    h = h.withColumns({f"__at{d}": x for d, x in enumerate(at, 1)})
+    role = F.lit(None).cast("string")
+    for d in range(1, 7):
+        one = F.col(f"__at{d}")
+        role = F.when((one["depth"] == d) & (d <= F.col("depth")), F.coalesce(one["own_role"], role)).otherwise(role)
+    h = h.withColumn("role", role)
     return h.select("path", "line", "depth", "title", "parent", "role")
 
 
@@ -64,19 +70,19 @@ def prompts(docs: DataFrame) -> DataFrame:
 def plan_observations(docs: DataFrame, listing: DataFrame, sections: tuple[str, ...] = ("Verification", "Prompts")) -> DataFrame:
     """``path, kind, line, name`` of what a plan lacks. ``listing`` (path) are the files there are."""
     p = prompts(docs).withColumn("full", F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.col("file")))
-    missing = p.filter("file <> ''").join(listing.select(F.col("path").alias("there")), F.col("full") == F.col("there"), "left_anti").select("path", F.lit("MISSING_PROMPT_FILE").alias("kind"), "line", F.col("file").alias("name"))
+    missing = p.filter("file <> ''").join(listing.select(F.col("path").alias("there")), F.col("full") == F.col("there"), "left_anti").select("path", F.lit("PROMPT_FILE_MISSING").alias("kind"), "line", F.col("file").alias("name"))
     needs = p.select("path", "line", "id", F.explode("needs").alias("need"))
     ids = p.select("path", F.col("id").alias("need")).distinct()
     unknown = needs.join(ids, ["path", "need"], "left_anti").select("path", F.lit("UNKNOWN_DEPENDENCY").alias("kind"), "line", F.col("need").alias("name"))
     key = lambda c: F.concat_ws("\0", "path", c)
     edges = needs.join(ids, ["path", "need"], "left_semi").select(key("need").alias("src"), key("id").alias("dst"))
-    ring = graph.cycles(edges).select(F.split(F.col("path")[0], "\0")[0].alias("path"), F.lit("DEPENDENCY_CYCLE").alias("kind"), F.lit(0).alias("line"), F.array_join(F.transform("path", lambda x: F.split(x, "\0")[1]), " -> ").alias("name"))
+    ring = graph.cycles(edges).select(F.split(F.col("path")[0], "\0")[0].alias("path"), F.lit("PROMPT_DEPENDENCY_CYCLE").alias("kind"), F.lit(0).alias("line"), F.array_join(F.transform("path", lambda x: F.split(x, "\0")[1]), " -> ").alias("name"))
     l = marked_lines(docs)
     tasks = l.filter(~F.col("fenced") & F.col("text").rlike(r"^\s*[-*]\s+\[ \]")).select("path", F.lit("OPEN_TASK").alias("kind"), "line", F.trim("text").alias("name"))
-    bare = l.groupBy("path").agg(F.bool_or("header").alias("h")).filter("NOT h").select("path", F.lit("MISSING_HEADER").alias("kind"), F.lit(1).alias("line"), F.lit("header").alias("name"))
+    bare = l.groupBy("path").agg(F.bool_or("header").alias("h")).filter("NOT h").select("path", F.lit("PLAN_HEADER_MISSING").alias("kind"), F.lit(1).alias("line"), F.lit("header").alias("name"))
     wanted = docs.select("path").crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(s,) for s in sections], "name string")))
     have = l.filter("title IS NOT NULL").select("path", F.col("title").alias("name")).distinct()
-    lacks = wanted.join(have, ["path", "name"], "left_anti").select("path", F.lit("MISSING_SECTION").alias("kind"), F.lit(1).alias("line"), "name")
+    lacks = wanted.join(have, ["path", "name"], "left_anti").select("path", lookup(F.col("name"), SECTION_KINDS, "MISSING_SECTION").alias("kind"), F.lit(1).alias("line"), "name")
     out = missing
     for x in (unknown, ring, tasks, bare, lacks):
         out = out.unionByName(x)
@@ -85,7 +91,7 @@ def plan_observations(docs: DataFrame, listing: DataFrame, sections: tuple[str,
 
 def plan_verdicts(docs: DataFrame, observations: DataFrame) -> DataFrame:
     """Score (100 less the weights, 0 at least) and verdict of every plan."""
-    cost = observations.groupBy("path").agg(F.sum(lookup(F.col("kind"), WEIGHTS, 5)).alias("cost"), F.count_if(F.col("kind").isin(*BLOCKERS)).alias("n_blockers"))
+    cost = observations.groupBy("path").agg(F.sum(lookup(F.col("kind"), {**PLAN_WEIGHTS, "OPEN_TASK": 0}, OTHER_WEIGHT)).alias("cost"), F.count_if(F.col("kind").isin(*PLAN_BLOCKERS)).alias("n_blockers"))
     p = docs.select("path").join(cost, "path", "left").select("path", F.greatest(F.lit(0), 100 - F.coalesce("cost", F.lit(0))).cast("int").alias("score"), F.coalesce("n_blockers", F.lit(0)).alias("n_blockers"))
     return interpret(p, "plan").select("path", "score", "n_blockers", F.col("kind").alias("verdict"))
 

@@ -79,11 +79,11 @@ MOCKS = (
     Rule("MOCK_UNRESOLVED", "true", "low", manual=True),
 )
 STRATEGY = (
-    Rule("integration", "has_provider AND has_render", "high"),
-    Rule("component", "has_render", "high"),
-    Rule("hook", "has_render_hook", "high"),
-    Rule("unit", "has_assertion", "medium"),
-    Rule("none", "true", "low"),
+    Rule("playwright", "has_playwright", "high"),
+    Rule("integration-providers", "has_render AND has_provider", "high"),
+    Rule("unit-render", "has_render", "high"),
+    Rule("unit-pure", "has_provider", "medium"),
+    Rule("unit-pure", "true", "high"),
 )
 BRANCHES = (
     Rule("NULL_COALESCE", "operator = '??'", "high"),
@@ -118,21 +118,31 @@ COVERAGE = (
     Rule("INDIRECTLY_TESTED", "n_indirect_specs > 0", "medium"),
     Rule("UNTESTED", "true", "high"),
 )
+#: One row per finding: ``sub_kind`` of a bug, ``metric`` of a hotspot, ``risk`` of a test gap,
+#: ``confidence`` of an internal mock, ``is_type_only`` of a ring. What no rule fits is P4.
 PRIORITY = (
-    Rule("P1", "finding IN ('bug-error-handling', 'circular-dep-runtime')"),
-    Rule("P2", "finding = 'complexity-hotspot' AND metric >= 25"),
-    Rule("P3", "finding = 'complexity-hotspot' AND metric >= 15"),
-    Rule("P4", "finding = 'complexity-hotspot'"),
-    Rule("P2", "finding IN ('timer-race', 'mock-internal', 'leaf-violation')"),
-    Rule("P3", "finding IN ('derived-state', 'dead-export', 'test-gap')"),
-    Rule("P5", "finding IN ('style', 'note')"),
-)
+    Rule("P1", "finding = 'bug' AND sub_kind IN ('authz', 'crash', 'CVE-critical')"),
+    Rule("P2", "finding = 'bug'"),
+    Rule("P1", "finding = 'complexity-hotspot' AND metric >= 25"),
+    Rule("P2", "finding = 'complexity-hotspot' AND metric >= 15"),
+    Rule("P3", "finding = 'complexity-hotspot'"),
+    Rule("P2", "finding = 'test-gap' AND risk = 'HIGH'"),
+    Rule("P4", "finding = 'test-gap' AND risk = 'LOW'"),
+    Rule("P3", "finding = 'test-gap'"),
+    Rule("P3", "finding = 'mock-internal' AND confidence = 'high'"),
+    Rule("P5", "finding = 'circular-dep' AND is_type_only"),
+    Rule("P1", "finding IN ('RAW_ROLE_CHECK', 'RAW_ROLE_EQUALITY')"),
+    Rule("P2", "finding = 'trust-boundary-gap'"),
+    Rule("P3", "finding IN ('cross-domain-coupling', 'ddau-violation', 'eliminable-effect')"),
+    Rule("P5", "finding = 'style'"),
+)
+#: One row per statement of a catch; :func:`factline.operators.audit.sinks_of` gives a catch all of its sinks.
 ERROR_SINK = (
+    Rule("rethrow", "rethrows", "high"),
     Rule("newrelic", "reports", "high"),
     Rule("console", "logs", "high"),
     Rule("response", "responds", "high"),
     Rule("callback", "calls_back", "medium"),
-    Rule("rethrow", "rethrows", "high"),
     Rule("swallowed", "true", "high", manual=True),
 )
 ERROR_HANDLED = (

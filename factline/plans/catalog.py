@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = [f"factline.plans.{m}" for m in ("facts", "observations", "relational", "sequences", "cascades", "pipelines", "more")]
+MODULES = [f"factline.plans.{m}" for m in ("facts", "observations", "relational", "sequences", "cascades", "pipelines", "more", "audits")]
 
 
 def load() -> None:

@@ -42,8 +42,8 @@ def test_plan(spark):
     listing = spark.createDataFrame([("p/a.md",), ("p/b.md",), ("p/c.md",)], "path string")
     o = D.plan_observations(d, listing)
     assert sorted((r["path"], r["kind"], r["name"]) for r in o.collect()) == [
-        ("p/plan.md", "DEPENDENCY_CYCLE", "2 -> 3"), ("p/plan.md", "MISSING_PROMPT_FILE", "d.md"), ("p/plan.md", "MISSING_SECTION", "Verification"), ("p/plan.md", "OPEN_TASK", "- [ ] open"), ("p/plan.md", "UNKNOWN_DEPENDENCY", "9")]
-    assert {r["path"]: (r["score"], r["verdict"]) for r in D.plan_verdicts(d, o).collect()} == {"p/plan.md": (40, "BLOCKED"), "q/plan.md": (100, "CERTIFIED")}
+        ("p/plan.md", "OPEN_TASK", "- [ ] open"), ("p/plan.md", "PROMPT_DEPENDENCY_CYCLE", "2 -> 3"), ("p/plan.md", "PROMPT_FILE_MISSING", "d.md"), ("p/plan.md", "UNKNOWN_DEPENDENCY", "9"), ("p/plan.md", "VERIFICATION_BLOCK_MISSING", "Verification")]
+    assert {r["path"]: (r["score"], r["verdict"]) for r in D.plan_verdicts(d, o).collect()} == {"p/plan.md": (25, "BLOCKED"), "q/plan.md": (100, "CERTIFIED")}
 
 
 def test_skill(spark):
