@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import pieces, scratch, small, stash
+from factline.llm.common import fresh, pieces, scratch, small, stash
 from factline.ship import ship
 
 SEED = 53
@@ -483,8 +483,8 @@ def _part(docs: DataFrame, b: DataFrame, id_col: str, text_col: str, schema: T.S
 def remove_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's rows without those whose text holds a benchmark item, as
     :func:`decontaminate` finds it. It goes by text, so null and repeated ids don't matter."""
-    key = F.md5(F.col(f"`{text_col}`").cast("string"))
+    key, leak = F.md5(F.col(f"`{text_col}`").cast("string")), fresh(docs, "__leak")
     with scratch(docs.sparkSession):
         found = decontaminate(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), bench, "key", "text")
-        leaks = stash(found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__leak")).distinct(), "leaks", keep=True)
-    return docs.join(small(leaks), key == F.col("__leak"), "left_anti")
+        leaks = stash(found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(leak)).distinct(), "leaks", keep=True)
+    return docs.join(small(leaks), key == F.col(leak), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factline.llm import tokens as K
-from factline.llm.common import scratch, small, stash
+from factline.llm.common import fresh, scratch, small, stash
 
 N = 5
 #: Two documents join at this Jaccard similarity of their n-gram sets.
@@ -407,15 +407,17 @@ def deduplicate(docs: DataFrame, n: int = N, least: float = LEAST, id_col: str =
     """The input's rows, one document of each group of :func:`groups`: that of
     the least id. A row that repeats a kept one in id and text goes as well. Rows of a null id and
     wordless texts stay."""
+    g, t = fresh(docs, "__gone"), fresh(docs, "__twice")
     with scratch(docs.sparkSession):
         found = groups(docs, n, least, id_col, text_col)
-        gone = stash(found.filter("keeper <> id").select(F.col("id").alias("__gone")), "jaccard-gone", keep=True)
-    kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+        gone = stash(found.filter("keeper <> id").select(F.col("id").alias(g)), "jaccard-gone", keep=True)
+    kept = docs.join(small(gone), F.col(f"`{id_col}`") == F.col(g), "left_anti")
     # Repeated rows are rare: only rows of ids that occur twice are compared.
-    twice = stash(kept.groupBy(F.col(f"`{id_col}`").alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1 AND __twice IS NOT NULL").select("__twice"), "jaccard-twice")
+    n_rows = kept.select(F.col(f"`{id_col}`").alias(t)).groupBy(t).agg(F.count("*").alias("n_rows"))
+    twice = stash(n_rows.filter(f"n_rows > 1 AND {t} IS NOT NULL").select(t), "jaccard-twice")
     if twice.isEmpty():
         return kept
-    at = F.col(f"`{id_col}`") == F.col("__twice")
+    at = F.col(f"`{id_col}`") == F.col(t)
     return kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates([id_col, text_col]))
 
 

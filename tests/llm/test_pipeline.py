@@ -69,3 +69,17 @@ def test_run_equals_the_stages(spark):
     assert a.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "position"]
     assert a.count() > 100
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=repr)
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.selectExpr("*", "doc_id % 3 AS copy_no", "'x' AS shuffle_key", "1 AS `m.n`", "'en' AS Keeper", "2 AS c1", "3 AS __gone", "4 AS n").limit(60)
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    own = {tuple(r) for r in odd.collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns + ["shard", "position"] * (k == 4), name
+        rows = [tuple(r)[: len(odd.columns)] for r in out.collect()]
+        assert rows and set(rows) <= own, name
