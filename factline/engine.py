@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factline.functions.scalars import finding_id
 from factline.operators import audit as A
 from factline.operators import extract, facts, graph
+from factline.operators.cache import FactCache
 from factline.operators.interpret import interpret
 from factline.operators.rules import Rule
 from factline.sources.files import mentions, scan_files, select_files
@@ -24,10 +25,16 @@ FINDINGS = {
 class Engine:
     """``files``: path, version, content (see :func:`factline.sources.files.scan_files`)."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame | str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, files: DataFrame | str, aliases: dict[str, str] | None = None, cache: FactCache | None = None) -> None:
+        self.spark, self.aliases, self.cache = spark, aliases, cache
+        self._edges: DataFrame | None = None
         self.files = scan_files(spark, files, "all") if isinstance(files, str) else files
 
+    def observe(self, files: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+        """Observations of some tools; with a cache, only files of new content are read."""
+        run = lambda f: extract.observe(f, tools)
+        return self.cache.observe(files, "+".join(tools), run) if self.cache else run(files)
+
     def types(self) -> list[str]:
         return sorted({*extract.TOOLS, *PRESET, "dead-exports", "circular", "complexity-report", "interpret-effects", "interpret-hooks", "interpret-dead-code"})
 
@@ -36,7 +43,7 @@ class Engine:
         files = select_files(self.files.drop("is_test"), test_files)
         if kind_of in PRESET:
             tool, only = PRESET[kind_of]
-            out = facts.kind_filter(extract.observe(files, (tool,)), [only])
+            out = facts.kind_filter(self.observe(files, (tool,)), [only])
         elif kind_of == "dead-exports":
             out = self.dead_exports()
         elif kind_of == "circular":
@@ -44,13 +51,13 @@ class Engine:
         elif kind_of == "complexity-report":
             out = extract.complexity(files).select(F.lit("FUNCTION_COMPLEXITY").alias("kind"), F.col("path").alias("file"), "line", F.col("parent").alias("name"), "complexity", "depth")
         elif kind_of == "interpret-effects":
-            out = interpret(extract.effect_flags(extract.observe(files, ("effects", "side-effects", "storage"))), "effects")
+            out = interpret(extract.effect_flags(self.observe(files, ("effects", "side-effects", "storage"))), "effects")
         elif kind_of == "interpret-hooks":
             out = self.hooks(files)
         elif kind_of == "interpret-dead-code":
             out = self.dead_code()
         elif kind_of in extract.TOOLS:
-            out = extract.observe(files, (kind_of,))
+            out = self.observe(files, (kind_of,))
         else:
             raise ValueError(f"unknown query {kind_of!r}; there are {', '.join(self.types())}")
         out = out.filter(F.col("kind") == kind) if kind else out
@@ -61,12 +68,15 @@ class Engine:
         return {k: self.query(k) for k in kinds}
 
     def edges(self) -> DataFrame:
-        return extract.import_edges(self.files)
+        """Import edges of all files, found once for an engine."""
+        if self._edges is None:
+            self._edges = extract.import_edges(self.files, aliases=self.aliases).persist()
+        return self._edges
 
     def consumers(self, file: str) -> DataFrame:
         """Files that import ``file``, among those whose text can."""
         near = mentions(self.files, file).unionByName(self.files.filter(F.col("path") == file))
-        return extract.import_edges(near).filter(F.col("dst") == file).select(F.col("src").alias("file")).distinct()
+        return extract.import_edges(near, aliases=self.aliases).filter(F.col("dst") == file).select(F.col("src").alias("file")).distinct()
 
     def symbol(self, name: str) -> DataFrame:
         """Files that import the symbol, then others that render it."""
@@ -74,28 +84,42 @@ class Engine:
         b = self.files.filter(F.col("content").rlike(rf"<{name}\b")).select(F.col("path").alias("file")).join(a, "file", "left_anti")
         return a.unionByName(b.withColumn("via", F.lit("render")))
 
+    def reexports(self) -> DataFrame:
+        """What files pass on: file, name ("* from ..." for all), line."""
+        e = self.edges().filter("reexport")
+        return e.select(F.col("src").alias("file"), F.when(F.col("name") == "*", F.concat(F.lit("* from "), "dst")).otherwise(F.col("name")).alias("name"), "line")
+
     def dead_exports(self) -> DataFrame:
-        exports = extract.exports_of(select_files(self.files.drop("is_test"), "production"))
-        left = graph.used_exports(exports, self.edges())
-        return left.filter(~F.col("file").rlike("/pages/")).select(F.lit("DEAD_EXPORT").alias("kind"), "file", "name", "line")
+        exports = extract.exports_of(select_files(self.files.drop("is_test"), "production")).withColumn("is_reexport", F.lit(False))
+        left = A.dead_export_chain(exports, self.edges().filter("NOT reexport"), self.reexports())
+        # What a barrel imports from a file to pass it on counts as the barrel's use.
+        passed = self.edges().filter("reexport").select(F.col("dst").alias("file"), "name").distinct()
+        left = left.join(passed, ["file", "name"], "left_anti").join(passed.filter("name = '*'").select("file").distinct(), "file", "left_anti")
+        return left.select(F.lit("DEAD_EXPORT").alias("kind"), "file", "name", "line")
 
     def cycles(self) -> DataFrame:
         found = graph.cycles(self.edges().select("src", "dst").distinct())
         return found.select(F.lit("CIRCULAR_DEPENDENCY").alias("kind"), F.col("path")[0].alias("file"), F.array_join("path", " -> ").alias("name"), F.lit(1).alias("line"))
 
     def hooks(self, files: DataFrame) -> DataFrame:
-        calls = extract.observe(files, ("hooks",))
-        source = extract.import_edges(self.files).select(F.col("src").alias("file"), "name", F.col("dst").alias("import_source")).dropDuplicates(["file", "name"])
+        calls = self.observe(files, ("hooks",))
+        source = self.edges().select(F.col("src").alias("file"), "name", F.col("dst").alias("import_source")).dropDuplicates(["file", "name"])
         builtin = F.col("name").rlike("^use(State|Effect|LayoutEffect|Memo|Callback|Ref|Context|Reducer|Id|Transition)$")
         ambient = F.col("name").rlike("^use(Router|Theme|Toast|MediaQuery|SearchParams)$")
         return interpret(calls.drop("kind").join(source, ["file", "name"], "left").withColumns({"is_builtin": builtin, "is_ambient": ambient}), "hooks")
 
     def dead_code(self) -> DataFrame:
         e = self.edges()
-        uses = e.groupBy(F.col("dst").alias("file"), "name").agg(F.countDistinct("src").alias("n"))
+        folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+        uses = e.groupBy(F.col("dst").alias("file"), "name").agg(F.countDistinct("src").alias("n"), F.count_if(~F.startswith("src", folder("dst"))).alias("n_outside"))
         ring = self.cycles().select(F.explode(F.split("name", " -> ")).alias("file")).distinct().withColumn("in_cycle", F.lit(True))
-        x = extract.exports_of(select_files(self.files.drop("is_test"), "production")).join(uses, ["file", "name"], "left").join(ring, "file", "left")
-        x = x.select("file", "name", "line", F.coalesce("n", F.lit(0)).alias("n_consumers"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), F.lit(False).alias("dynamic"), F.lit(False).alias("is_reexport"), F.lit(1).alias("n_outside"))
+        own = extract.exports_of(select_files(self.files.drop("is_test"), "production")).withColumn("is_reexport", F.lit(False))
+        barrels = self.reexports().filter(F.col("file").rlike(r"(^|/)index\.tsx?$") & ~F.col("name").startswith("* from ")).withColumn("is_reexport", F.lit(True))
+        x = own.unionByName(barrels).join(uses, ["file", "name"], "left").join(ring, "file", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        # A barrel's entry that nobody outside takes is no dead export of its own.
+        n = F.when(F.col("is_reexport"), F.greatest(zero("n"), F.lit(2))).otherwise(zero("n"))
+        x = x.select("file", "name", "line", n.alias("n_consumers"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), A.holds_any(F.col("file"), ("pages/api/", "server/")).alias("dynamic"), "is_reexport", zero("n_outside").alias("n_outside"))
         return interpret(x, "dead_code")
 
     def findings(self) -> DataFrame:
@@ -105,7 +129,7 @@ class Engine:
         cols = ["kind", "file", "line", "name", "confidence", "metric"]
         none = F.lit(None).cast("long")
         streams = [
-            extract.observe(files, tools).select("kind", "file", "line", "name", F.lit("high").alias("confidence"), none.alias("metric")),
+            self.observe(files, tools).select("kind", "file", "line", "name", F.lit("high").alias("confidence"), none.alias("metric")),
             self.query("interpret-effects").select("kind", "file", F.col("effect_line").alias("line"), F.col("parent").alias("name"), "confidence", none.alias("metric")),
             self.dead_exports().select("kind", "file", "line", "name", F.lit("high").alias("confidence"), none.alias("metric")),
             self.cycles().select("kind", "file", "line", "name", F.lit("high").alias("confidence"), none.alias("metric")),

@@ -1,22 +1,24 @@
 """Extractors: source lines to observations, as one table of line patterns.
 
-Lines inside block comments, and line comments, are masked first; every
-pattern is a regular expression over what is left. The containing function
-is that of the last declaration above (an approximation: nesting is seen only
-through declarations at a line's start). Whole files are read, nothing is shuffled but the
-line windows of a file.
+Files are cut into lines by one Arrow function (:mod:`factline.operators.code`): comments are
+blanked, imports over several lines put on one, and each line gets the innermost named function that it is
+in. Every pattern is a regular expression over what is left, and gives a fact for each
+of its matches. Whole files are read, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factline.operators.code import lines
 from factline.operators.windows import as_of
-from factline.sources.files import lines_of
+from factline.ship import ship
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,7 @@ PATTERNS = (
     P("effects", "EFFECT_STATE_SETTER_CALL", r"\b(set[A-Z]\w*)\s*\(", 1, unless=r"\bset(?:Timeout|Interval)\b"),
     P("effects", "EFFECT_FETCH_CALL", r"\b(fetch|axios(?:\.\w+)?|fetchApi)\s*\(", 1),
     P("effects", "EFFECT_NAVIGATION_CALL", r"\b(?:router\.(push|replace)|navigate)\s*\(", 1),
+    P("effects", "EFFECT_REF_TOUCH", r"\b(\w*[rR]ef)\.current\b", 1),
     P("effects", "EFFECT_CLEANUP_PRESENT", r"\breturn\s*\(\)\s*=>"),
     P("data-layer", "QUERY_HOOK_DEFINITION", r"\b(useQuery|useInfiniteQuery|useSuspenseQuery)\s*[(<]", 1),
     P("data-layer", "MUTATION_HOOK_DEFINITION", r"\b(useMutation)\s*[(<]", 1),
@@ -126,43 +129,38 @@ PATTERNS = (
     P("markdown", "ROLE_ANNOTATION", r"<!--\s*role:\s*([\w-]+)", 1),
 )
 TOOLS = tuple(sorted({p.tool for p in PATTERNS}))
-FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*([A-Za-z_$][\w$]*)|(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[^=]+)?=>)"
 
 
 def masked_lines(files: DataFrame) -> DataFrame:
     """Lines with ``code``, what is outside of comments, and ``parent``, the function they are in."""
-    rows = lines_of(files)
-    by, order = ["path", "version"], ["line"]
-    opens, closes = F.size(F.split("text", r"/\*")) - 1, F.size(F.split("text", r"\*/")) - 1
-    before = F.coalesce(F.sum(opens - closes).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("__open", before > 0)
-    inline = F.regexp_replace("text", r"/\*.*?\*/", "")
-    tail = F.when(F.col("__open"), F.when(F.col("text").contains("*/"), F.regexp_replace("text", r"^.*?\*/", "")).otherwise(F.lit(""))).otherwise(inline)
-    code = F.regexp_replace(F.regexp_replace(tail, r"/\*.*$", ""), r"(^|[^:'\"])//.*$", "$1")
-    rows = rows.withColumn("code", code).drop("__open")
-    name = F.coalesce(F.nullif(F.regexp_extract("code", FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract("code", FUNCTION, 2), F.lit("")))
-    return rows.withColumn("parent", as_of(by, order, name))
+    ship(files.sparkSession)
 
+    def cut(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                path, version, text = (b[c][r].as_py() for c in ("path", "version", "content"))
+                rows = lines(text or "")
+                for lo in range(0, len(rows), 20_000):
+                    n, raw, code, parent = zip(*rows[lo : lo + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(n), pa.string()), pa.array([version] * len(n), pa.string()), pa.array(raw, pa.string()), pa.array(n, pa.int32()), pa.array(code, pa.string()), pa.array(parent, pa.string())], names=["path", "version", "text", "line", "code", "parent"])
 
-def _hit(p: Pattern) -> Column:
-    text = F.col("text" if p.keep_comments or p.tool == "markdown" else "code")
-    hit = text.rlike(p.regex)
-    return hit & ~text.rlike(p.unless) if p.unless else hit
+    return files.select("path", "version", "content").mapInArrow(cut, "path string, version string, text string, line int, code string, parent string")
 
 
 def observe(files: DataFrame, tools: tuple[str, ...] | None = None) -> DataFrame:
-    """``tool, kind, file, version, line, parent, name, text`` of every pattern
-    of the tools (all, if none are given) and line that it matches."""
+    """``tool, kind, file, version, line, parent, name, text`` of every match of a pattern
+    of the tools (all, if none are given), so a line has as many facts as there are matches."""
     unknown = set(tools or ()) - set(TOOLS)
     if unknown:
         raise ValueError(f"unknown tools {sorted(unknown)}; there are {', '.join(TOOLS)}")
     chosen = [p for p in PATTERNS if not tools or p.tool in tools]
 
-    def row(p: Pattern) -> Column:
+    def each(p: Pattern) -> Column:
         text = F.col("text" if p.keep_comments or p.tool == "markdown" else "code")
-        return F.when(_hit(p), F.struct(F.lit(p.tool).alias("tool"), F.lit(p.kind).alias("kind"), F.regexp_extract(text, p.regex, p.name).alias("name")))
+        found = F.transform(F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.name)), lambda x: F.struct(F.lit(p.tool).alias("tool"), F.lit(p.kind).alias("kind"), x.alias("name")))
+        return F.when(~text.rlike(p.unless), found).otherwise(F.slice(found, 1, 0)) if p.unless else found
 
-    rows = masked_lines(files).withColumn("o", F.explode(F.filter(F.array(*map(row, chosen)), lambda x: x.isNotNull())))
+    rows = masked_lines(files).withColumn("o", F.explode(F.flatten(F.array(*map(each, chosen)))))
     return rows.select("o.tool", "o.kind", F.col("path").alias("file"), "version", "line", "parent", F.trim("o.name").alias("name"), F.trim("text").alias("text"))
 
 
@@ -185,24 +183,28 @@ def effect_flags(observations: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "EFFECT_STATE_SETTER_CALL").alias("n_setters"),
         F.max(F.size(F.filter(F.split(F.regexp_extract("text", r"\[([^\]]*)\]\s*\)\s*;?\s*$", 1), ","), lambda d: F.trim(d) != ""))).alias("n_deps"),
         has("EFFECT_FETCH_CALL").alias("has_fetch"), has("EFFECT_TIMER_CALL", "TIMER_CALL").alias("has_timer"), has("WINDOW_MUTATION").alias("has_dom"), has("DIRECT_STORAGE_CALL", "TYPED_STORAGE_CALL").alias("has_storage"),
-        has("EFFECT_CLEANUP_PRESENT").alias("has_cleanup"), has("TOAST_CALL").alias("has_toast"), has("EFFECT_NAVIGATION_CALL").alias("has_navigation"), F.lit(False).alias("touches_ref"), F.lit(True).alias("reads_only_deps"), F.lit(False).alias("setter_mirrors_prop"),
+        has("EFFECT_CLEANUP_PRESENT").alias("has_cleanup"), has("TOAST_CALL").alias("has_toast"), has("EFFECT_NAVIGATION_CALL").alias("has_navigation"), has("EFFECT_REF_TOUCH").alias("touches_ref"), F.lit(True).alias("reads_only_deps"), F.lit(False).alias("setter_mirrors_prop"),
     )
 
 
-def import_edges(files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", "/index.ts", "/index.tsx")) -> DataFrame:
-    """``src, dst, name, line``: relative imports resolved against the listing,
-    by the first extension that exists; one row per specifier."""
-    line = masked_lines(files).filter(F.col("code").rlike(r"\bfrom\s+['\"]\.{1,2}/"))
-    spec = F.regexp_extract("code", r"^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s+from\s+['\"]", 1)
-    target = F.regexp_extract("code", r"from\s+['\"]([^'\"]+)['\"]", 1)
+def import_edges(files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", "/index.ts", "/index.tsx"), aliases: dict[str, str] | None = None) -> DataFrame:
+    """``src, dst, name, line, reexport``: relative imports, and those of a prefix in ``aliases`` (prefix to folder),
+    resolved against the listing by the first extension that exists; one row per specifier."""
+    aliases = aliases or {}
+    near = "|".join([r"\.{1,2}/", *(re.escape(a) for a in aliases)])
+    line = masked_lines(files).filter(F.col("code").rlike(rf"\bfrom\s*['\"](?:{near})"))
+    spec = F.regexp_extract("code", r"^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s*from\s*['\"]", 1)
+    target = F.regexp_extract("code", r"from\s*['\"]([^'\"]+)['\"]", 1)
     names = F.filter(F.transform(F.split(F.regexp_replace(spec, r"[{}]", ","), ","), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s*type\s+", ""), r"(\w)\s+as\s+\w+\s*$", "$1"))), lambda s: s != "")
     # A default import has no braces around its name.
-    rows = line.select(F.col("path").alias("src"), "line", F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/").alias("dir"), target.alias("target"), F.explode(names).alias("name"))
+    rows = line.select(F.col("path").alias("src"), "line", F.col("code").rlike(r"^\s*export\b").alias("reexport"), F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/").alias("dir"), target.alias("target"), F.explode(names).alias("name"))
     up = F.size(F.regexp_extract_all("target", F.lit(r"\.\./"), F.lit(0)))
     stem = F.concat(F.array_join(F.slice("dir", F.lit(1), F.greatest(F.size("dir") - up, F.lit(1))), "/"), F.lit("/"), F.regexp_replace("target", r"^(\.{1,2}/)+", ""))
-    tried = rows.select("src", "line", "name", stem.alias("stem")).withColumn("try", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), F.concat("stem", F.lit(e)).alias("path")) for k, e in enumerate(extensions)))))
+    for prefix, folder in aliases.items():
+        stem = F.when(F.startswith("target", F.lit(prefix)), F.concat(F.lit(folder), F.substring("target", len(prefix) + 1, 1 << 20))).otherwise(stem)
+    tried = rows.select("src", "line", "reexport", "name", stem.alias("stem")).withColumn("try", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), F.concat("stem", F.lit(e)).alias("path")) for k, e in enumerate(extensions)))))
     listing = files.select(F.col("path").alias("dst")).distinct()
-    return tried.join(listing, F.col("try.path") == F.col("dst")).groupBy("src", "line", "name").agg(F.min_by("dst", "try.rank").alias("dst"))
+    return tried.join(listing, F.col("try.path") == F.col("dst")).groupBy("src", "line", "reexport", "name").agg(F.min_by("dst", "try.rank").alias("dst"))
 
 
 def exports_of(files: DataFrame) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from factline.ship import ship
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -50,11 +57,28 @@ def longest_chain(edges: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("depth", F.lit(0)).limit(0)
 
 
-def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+#: Edges that one task may hold to list cycles; larger graphs grow paths by joins.
+EDGES = 1 << 20
+
+
+def cycles(edges: DataFrame, most: int | None = None, held: int = EDGES) -> DataFrame:
     """Every simple cycle (of up to ``most`` nodes, if given), once, begun at its least node:
-    ``path`` and ``length``. Paths only grow through nodes above their first, so
-    each cycle is found in one rotation alone."""
+    ``path`` and ``length``. A graph of ``held`` edges or fewer (they are counted) is searched by one task,
+    by strongly connected components (:func:`simple_cycles`). In a larger one paths grow by
+    joins, a round for each step, and only through nodes above their first, so that each
+    cycle is found in one rotation alone."""
     e = edges.select("src", "dst").distinct()
+    if most is None and e.limit(held + 1).count() <= held:
+        kind = e.schema["src"].dataType
+        paths_of = pa.list_(to_arrow_type(kind))
+
+        def search(batches):
+            pairs = [p for b in batches for p in zip(b["src"].to_pylist(), b["dst"].to_pylist())]
+            for path in simple_cycles(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array([path], paths_of)], names=["path"])
+
+        ship(edges.sparkSession)
+        return e.repartition(1).mapInArrow(search, T.StructType([T.StructField("path", T.ArrayType(kind))])).withColumn("length", F.size("path"))
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found = e.filter("src = dst").select(F.array("src").alias("path"))
     k = 1
@@ -71,6 +95,86 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     return found.withColumn("length", F.size("path"))
 
 
+def _strong(after: dict, nodes: list) -> list[set]:
+    """Strongly connected components of a graph, without recursion (Tarjan)."""
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for start in nodes:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(after.get(start, ())))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(after.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = set()
+                    while v not in part:
+                        w = stack.pop()
+                        on.discard(w)
+                        part.add(w)
+                    out.append(part)
+    return out
+
+
+def simple_cycles(pairs: list[tuple]) -> Iterator[list]:
+    """Simple cycles of a graph, each from its least node: within strongly connected components, where a node that
+    led nowhere is blocked until something on the path behind it is free again (Johnson)."""
+    after: dict = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    todo = _strong(after, sorted(after))
+    while todo:
+        part = todo.pop()
+        s = min(part)
+        inner = {v: sorted(after.get(v, set()) & part) for v in part}
+        if len(part) == 1 and not inner[s]:
+            continue
+        path, blocked, waits, closed = [s], {s}, {v: set() for v in part}, set()
+        stack = [(s, list(reversed(inner[s])))]
+        while stack:
+            v, rest = stack[-1]
+            if rest:
+                w = rest.pop()
+                if w == s:
+                    yield list(path)
+                    closed.update(path)
+                elif w not in blocked:
+                    path.append(w)
+                    stack.append((w, list(reversed(inner[w]))))
+                    closed.discard(w)
+                    blocked.add(w)
+                continue
+            if v in closed:
+                free = [v]
+                while free:
+                    x = free.pop()
+                    if x in blocked:
+                        blocked.discard(x)
+                        free += waits[x]
+                        waits[x] = set()
+            else:
+                for w in inner[v]:
+                    waits[w].add(v)
+            stack.pop()
+            path.pop()
+        left = part - {s}
+        todo += _strong({v: set(inner[v]) & left for v in left}, sorted(left))
+
+
 def fan_out(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
 

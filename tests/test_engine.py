@@ -93,13 +93,16 @@ def test_audit_report_and_diff(spark, engine, root, tmp_path):
     first = engine.audit()["findings"]
     rows = first.collect()
     assert [r["priority"] for r in rows] == sorted(r["priority"] for r in rows) and len({r["id"] for r in rows}) == len(rows)
-    assert {"as-any", "timer-race", "raw-env", "unguarded-json", "dead-export", "circular-dep-runtime"} <= {r["finding"] for r in rows}
+    assert {"as-any", "eliminable-effect", "raw-env", "trust-boundary-gap", "dead-export", "circular-dep", "branded-type-gap"} <= {r["finding"] for r in rows}
     text = report.summary(first)
     assert "| Total |" in text and "Hot files" in text
     report.write_findings(first, str(tmp_path / "f"))
     old = spark.read.json(str(tmp_path / "f")).filter("finding <> 'as-any'")
     assert [r["state"] for r in engine.audit(previous=old)["diff"].collect()] == ["added"]
-    assert engine.audit("P1")["findings"].count() == 1
+    assert engine.audit("P1")["findings"].count() == 0
+    assert [(r["finding"], r["priority"], r["category"], r["track"]) for r in engine.audit("P2")["findings"].collect()] == [("trust-boundary-gap", "P2", "Bug", "fe")]
+    assert engine.audit(track="bff")["findings"].count() == 0
+    assert {r["track"]: r["P4"] for r in engine.audit()["summary"].collect()}["fe"] >= 3
     assert len(report.fixed_width(first, {"file": 12, "finding": 10}).first()["text"]) == 24
 
 
@@ -147,3 +150,66 @@ def test_git_json_and_configuration(spark, root, tmp_path):
     assert load_config({"a": {"x": 1, "y": 1}, "list": [1, 2]}, str(tmp_path / "c.json")) == {"a": {"x": 2, "y": 1}, "list": [9], "new": 1}
     assert load_config({"a": 1}, None) == {"a": 1}
     assert scan_json(spark, str(tmp_path / "c.json")).first()["new"] == 1
+
+
+MULTI = {
+    "src/x.ts": """import {
+  one, // the first
+  type Two,
+} from './lib';
+import * as all from "@/deep/y";
+export {
+  one as renamed,
+} from './lib';
+const s = "// no comment", t = 'import { no } from "./lib"';
+export const outer = (a: number) => {
+  const inner = () => {
+    return (a as any) + (s as any);
+  };
+  /* as any
+     over lines */ const v = a as any;
+  return inner() + v;
+};
+export function last({ a, b }: { a: number; b: number }) { return a!.x + b!.y; }
+const after = 1 as any;
+""",
+    "src/lib/index.ts": "export { one } from './one';\nexport * from './two';\nexport { gone } from './one';\n",
+    "src/lib/one.ts": "export const one = 1;\nexport const gone = 2;\nexport const dead = 3;\n",
+    "src/lib/two.ts": "export type Two = 1;\nexport const free = 4;\n",
+    "src/deep/y.ts": "export const y = 1;\n",
+    "src/pages/api/z.ts": "export const handler = 1;\n",
+    "src/server/w.ts": "export const w = 1;\n",
+}
+
+
+def test_code_over_several_lines(spark):
+    files = spark.createDataFrame([(p, "disk", t) for p, t in MULTI.items()], "path string, version string, content string")
+    e = Engine(spark, files, aliases={"@/": "src/"})
+    assert sorted((r["src"], r["dst"], r["name"], r["line"], r["reexport"]) for r in e.edges().filter("src = 'src/x.ts'").collect()) == [
+        ("src/x.ts", "src/deep/y.ts", "* as all", 5, False), ("src/x.ts", "src/lib/index.ts", "Two", 1, False), ("src/x.ts", "src/lib/index.ts", "one", 1, False), ("src/x.ts", "src/lib/index.ts", "one", 6, True)]
+    assert sorted((r["line"], r["parent"]) for r in e.query("as-any").collect()) == [(12, "inner"), (12, "inner"), (15, "outer"), (19, None)]
+    assert sorted((r["line"], r["parent"]) for r in e.query("type-safety", kind="NON_NULL_ASSERTION").collect()) == [(18, "last"), (18, "last")]
+    assert sorted((r["file"], r["name"]) for r in e.dead_exports().collect()) == [("src/lib/one.ts", "dead"), ("src/server/w.ts", "w"), ("src/x.ts", "last"), ("src/x.ts", "outer")]
+    dead = {(r["file"], r["name"]): r["kind"] for r in e.dead_code().collect()}
+    assert dead["src/server/w.ts", "w"] == dead["src/pages/api/z.ts", "handler"] == "POSSIBLY_DEAD_EXPORT" and dead["src/lib/index.ts", "gone"] == "DEAD_BARREL_REEXPORT" and ("src/lib/index.ts", "one") not in dead
+
+
+def test_cache_keeps_equal_facts_and_the_last_run(spark, tmp_path):
+    files = spark.createDataFrame([("a.ts", "disk", "const a = (x as any) + (y as any);\n")], "path string, version string, content string")
+    cache = FactCache(spark, str(tmp_path / "c"))
+    assert cache.stats().collect() == []
+    run = lambda f: extract.observe(f, ("type-safety",))
+    for mode in ("use", "refresh", "use"):
+        assert cache.observe(files, "t", run, mode=mode).filter("kind = 'AS_ANY_CAST'").count() == 2
+    stored = cache.stored().count()
+    cache.evict()
+    assert cache.stored().count() == stored // 2 and cache.stats().first()["facts"] == stored // 2
+    assert cache.observe(files, "t", run).count() == stored // 2
+
+
+def test_an_engine_with_a_cache_gives_the_same(spark, engine, root, tmp_path):
+    cached = Engine(spark, str(root), cache=FactCache(spark, str(tmp_path / "c")))
+    want = sorted(map(tuple, engine.audit()["findings"].collect()))
+    assert sorted(map(tuple, cached.audit()["findings"].collect())) == want
+    n = cached.cache.stored().count()
+    assert sorted(map(tuple, cached.audit()["findings"].collect())) == want and cached.cache.stored().count() == n

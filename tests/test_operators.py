@@ -104,3 +104,20 @@ def test_cycles_of_any_length(spark):
     edges = spark.createDataFrame(ring, "src long, dst long")
     assert sorted(r["length"] for r in graph.cycles(edges).collect()) == [2, 11]
     assert [r["length"] for r in graph.cycles(edges, 8).collect()] == [2]
+
+
+def test_cycles_in_a_task_and_by_joins_are_the_same(spark):
+    import itertools
+    import random
+
+    from factline.operators import graph
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        edges = {(rng.randrange(7), rng.randrange(7)) for _ in range(13)} | {(20, 21), (21, 22), (30, 30)}
+        want = {p for n in range(1, 8) for p in itertools.permutations(range(7), n) if p[0] == min(p) and all(e in edges for e in zip(p, p[1:] + p[:1]))} | {(30,)}
+        df = spark.createDataFrame(sorted(edges), "src long, dst long")
+        small, joined = ({tuple(r["path"]) for r in x.collect()} for x in (graph.cycles(df), graph.cycles(df, held=0)))
+        assert small == joined == want
+    ring = [(k, (k + 1) % 5000) for k in range(5000)]
+    assert [len(p) for p in graph.simple_cycles(ring)] == [5000]
