@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ CANDIDATE = "(?:^|[^0-9A-Za-z_])(?:" + "|".join(p for _, p in FORMATS) + ")"
 #: is the value, and no fixed format (CANDIDATE finds these in any case). The SQL
 #: doesn't have it.
 PREFIXED = "(?:^|[^0-9A-Za-z_])[0-9A-Za-z_]+(?i:password|passwd|secret|token|api_?key|access_?key|auth)[\"']?+ ?+[:=]{1,2}+ ?+[\"']?+(?!" + "|".join(p for n, p in FORMATS if n != "assignment") + ")([0-9A-Za-z_+/=.-]{12,})"
+#: Every candidate holds one of these, or one of WORDS in some case: a text without any is not searched.
+LITERALS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "AIza", "k_live_", "eyJ", "-----BEGIN")
+WORDS = ("passw", "secret", "token", "key", "auth")
 #: Words of made-up values; the sequence of digits and letters is one as well.
 FAKE = "example|sample|dummy|placeholder|changeme|your|xxxx|000000|1234567|abcdef"
 #: A value of fewer distinct characters, or of less entropy (bits a character), is made up.
@@ -50,7 +55,11 @@ def _matches(text: Column) -> Column:
     """What CANDIDATE finds, and the values that PREFIXED does."""
     none = F.lit(None).cast("string")
     plain = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(m.alias("m"), none.alias("assigned")))
-    return F.concat(plain, F.transform(F.regexp_extract_all(text, F.lit(PREFIXED), F.lit(1)), lambda v: F.struct(none.alias("m"), v.alias("assigned"))))
+    longer = F.transform(F.regexp_extract_all(text, F.lit(PREFIXED), F.lit(1)), lambda v: F.struct(none.alias("m"), v.alias("assigned")))
+    any_of = lambda t, parts: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in parts))
+    # Assignments need one of the words; the formats one of the literals.
+    words = any_of(F.lower(text), WORDS)
+    return F.when(words, F.concat(plain, longer)).when(any_of(text, LITERALS), plain)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner: Column | None = None) -> DataFrame:
