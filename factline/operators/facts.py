@@ -88,17 +88,17 @@ def split_matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tup
     return left.join(right, list(keys), "left_anti"), right.join(left, list(keys), "left_anti")
 
 
-def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, within: int, how: str = "inner") -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, within: int) -> DataFrame:
     """Rows of equal keys whose positions differ by ``within`` at most. Positions
     are cut into bands as wide: a left row looks into three, so that a hash join does it."""
     width = 2 * within + 1
     l = left.withColumn("__band", F.explode(F.array(*(F.floor(F.col(at) / width) + k for k in (-1, 0, 1)))))
     names = {c: f"{c}_r" for c in right.columns if c not in keys}
     r = right.select(*keys, *(F.col(c).alias(n) for c, n in names.items())).withColumn("__band", F.floor(F.col(f"{at}_r") / width))
-    return l.join(r, [*keys, "__band"], how).filter(F.abs(F.col(at) - F.col(f"{at}_r")) <= within).drop("__band")
+    return l.join(r, [*keys, "__band"]).filter(F.abs(F.col(at) - F.col(f"{at}_r")) <= within).drop("__band")
 
 
 def first_containing(left: DataFrame, right: DataFrame, text: str, part: str, order: str) -> DataFrame:
     """For each left row the first right row, by ``order``, whose ``part`` its ``text`` contains."""
-    hit = left.join(right, F.col(text).contains(F.col(part)))
-    return hit.groupBy(*left.columns).agg(F.min_by(part, order).alias(part))
+    hit = left.select(text).distinct().join(right.select(part, order), F.col(text).contains(F.col(part)))
+    return left.join(hit.groupBy(text).agg(F.min_by(part, order).alias(part)), text).select(*left.columns, part)

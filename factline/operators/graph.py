@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +17,12 @@ from factline.ship import ship
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage between rounds, in the folder that all executors share."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        return df.cache()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factline-"))
     return df.checkpoint()
 
 
@@ -28,13 +31,14 @@ def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFr
     node that the roots in ``start`` (column node) reach; each round joins only what is new."""
     found = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("steps")).distinct()
     front, k = found, 0
+    # Each round's nodes are written once; what is found is their union.
     while most is None or k < most:
         k += 1
         nxt = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = _written(nxt.join(found, ["root", "node"], "left_anti").withColumn("steps", F.lit(k)), f"reach-{k}")
         if front.isEmpty():
             break
-        found = _written(found.unionByName(front), f"found-{k}")
+        found = found.unionByName(front)
     return found
 
 

@@ -70,6 +70,29 @@ def kth_occurrence(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return left.withColumn("k", k(left_order)).join(right.withColumn("k", k(right_order)), [*keys, "k"])
 
 
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
+    """Pairs whose distinct ``words`` (arrays without nulls; ids are unique) overlap by ``least`` or more, as a share of the longer list.
+
+    Two lists with enough in common share one of the rarest words of each, all but its last ``least`` n - 1, so
+    only those are joined, never the commonest ones; the pairs found are then compared outright. Empty lists have no pairs."""
+    need = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(float(least)) - F.lit(1e-9)))
+    flat = lambda df, i: df.select(F.col(i).alias("__id"), F.size(words).alias("__n"), F.explode(words).alias("__t"))
+    l, r = flat(left, left_id), flat(right, right_id)
+    seen = l.select("__t").unionByName(r.select("__t")).groupBy("__t").agg(F.count("*").alias("__f"))
+
+    def rare(df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("__id").orderBy("__f", "__t"))
+        return df.join(seen, "__t").withColumn("__k", rank).filter(F.col("__k") <= F.col("__n") - need(F.col("__n")) + 1)
+
+    a = rare(l).select("__t", F.col("__id").alias(left_id), F.col("__n").alias("__nl"))
+    b = rare(r).select("__t", F.col("__id").alias(right_id), F.col("__n").alias("__nr"))
+    sized = (F.col("__nl") >= need(F.col("__nr"))) & (F.col("__nr") >= need(F.col("__nl")))
+    pairs = a.join(b, "__t").filter(sized).select(left_id, right_id).distinct()
+    pairs = pairs.join(left.select(left_id, F.col(words).alias("__l")), left_id).join(right.select(right_id, F.col(words).alias("__r")), right_id)
+    share = F.size(F.array_intersect("__l", "__r")) / F.greatest(F.size("__l"), F.size("__r"))
+    return pairs.select(left_id, right_id, share.alias("overlap")).filter(F.col("overlap") >= F.lit(float(least)))
+
+
 def unique_suffix(names: DataFrame, entries: DataFrame, name: str, entry: str) -> DataFrame:
     """Each name's entry: the equal one, else the only one that ends with a dot and the name's last part."""
     tail = lambda c: F.regexp_extract(F.col(c), r"([^.]+)$", 1)

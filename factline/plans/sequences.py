@@ -87,9 +87,9 @@ def context_lines(spark, sf_dir):
     return e.filter("event_type = 'error'").select("event_id", "around")
 
 
-@query("name_normalise", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
+@query("name_normalise", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
 def name_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.normalise_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.normalise_name(F.col("text")).alias("name"))
 
 
 _TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 2))"
@@ -109,18 +109,14 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(
     "overlap_pairs",
-    """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM documents),
+    """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
        x AS (SELECT item_id, doc_id, count(*) AS k FROM (SELECT item_id, unnest(w) AS t FROM b) JOIN (SELECT doc_id, unnest(w) AS t FROM d) USING (t) GROUP BY 1, 2)
        SELECT item_id, doc_id, k::DOUBLE / greatest(len(b.w), len(d.w)) AS overlap FROM x JOIN b USING (item_id) JOIN d USING (doc_id) WHERE k::DOUBLE / greatest(len(b.w), len(d.w)) >= 0.2""",
 )
 def overlap_pairs(spark, sf_dir):
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{5,}"), F.lit(0)))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("bw"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("dw"))
-    # Equal tokens first, so that only pairs that share one are ever made.
-    x = b.select("item_id", F.size("bw").alias("nb"), F.explode("bw").alias("t")).join(d.select("doc_id", F.size("dw").alias("nd"), F.explode("dw").alias("t")), "t")
-    x = x.groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("k"))
-    return x.select("item_id", "doc_id", (F.col("k") / F.greatest("nb", "nd")).alias("overlap")).filter("overlap >= 0.2D")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")
+    b, d = table(spark, sf_dir, "benchmark").select("item_id", words), table(spark, sf_dir, "documents").select("doc_id", words)
+    return matching.overlap_join(b, d, "item_id", "doc_id", "words", 0.2)
 
 
 _HALVES = "WITH b AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 0), a AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 1)"
@@ -156,14 +152,22 @@ def kth_occurrence_match(spark, sf_dir):
     return matching.kth_occurrence(b, a, ["user_id", "event_type"], "b", "a").select("b", "a", "k")
 
 
-@query("pair_similarity", f"{_HALVES} SELECT b.event_id AS b, a.event_id AS a, floor((0.5 * CASE WHEN b.user_id = a.user_id THEN 1.0 WHEN b.event_type = a.event_type THEN 0.7 ELSE 0.0 END + 0.15 * exp(-abs(b.event_id - a.event_id) / 50.0::DOUBLE) + 0.35 * (floor(b.value) = floor(a.value))::INT) * 1000000 + 0.5)::BIGINT AS score FROM b JOIN a ON b.event_type = a.event_type AND abs(b.event_id - a.event_id) <= 20")
+@query(
+    "pair_similarity",
+    f"""{_HALVES}, p AS (SELECT b.event_id AS b, a.event_id AS a, 0.5 * CASE WHEN b.user_id = a.user_id THEN 1.0 ELSE 0.7 END + 0.35 * (floor(b.value) = floor(a.value))::INT + 0.15 * exp(-abs(b.event_id - a.event_id) / 50.0::DOUBLE) AS score FROM b JOIN a ON b.event_type = a.event_type)
+        SELECT b, a, floor(score * 1000000 + 0.5)::BIGINT AS score FROM p WHERE score >= 0.8""",
+)
 def pair_similarity(spark, sf_dir):
+    """All pairs of a kind that score 0.8 or more. Without equal evidence a pair has 0.65 at most; with it, one of
+    equal users always has 0.85, any other 0.7 and 0.15 exp(-d / 50), which is enough up to a distance of 20."""
     b, a = _halves(spark, sf_dir)
-    left = b.select("event_type", F.col("user_id"), F.col("b").alias("at"), "vb")
-    right = a.select("event_type", F.col("user_id"), F.col("a").alias("at"), "va")
-    p = facts.band_join(left, right, ["event_type"], "at", 20)
-    s = matching.similarity(F.col("user_id") == F.col("user_id_r"), F.lit(True), F.array(F.floor("vb")), F.array(F.floor("va_r")), F.col("at"), F.col("at_r"))
-    return p.select(F.col("at").alias("b"), F.col("at_r").alias("a"), F.floor(s * 1000000 + 0.5).alias("score"))
+    left = b.select("event_type", F.floor("vb").alias("v"), "user_id", F.col("b").alias("at"))
+    right = a.select("event_type", F.floor("va").alias("v"), "user_id", F.col("a").alias("at"))
+    same = left.join(right.withColumnsRenamed({"at": "at_r"}), ["event_type", "v", "user_id"]).withColumn("user_id_r", F.col("user_id"))
+    near = facts.band_join(left, right, ["event_type", "v"], "at", 20).filter("NOT user_id <=> user_id_r")
+    p = same.unionByName(near)
+    s = matching.similarity(F.col("user_id") == F.col("user_id_r"), F.lit(True), F.array("v"), F.array("v"), F.col("at"), F.col("at_r"))
+    return p.withColumn("s", s).filter("s >= 0.8D").select(F.col("at").alias("b"), F.col("at_r").alias("a"), F.floor(F.col("s") * 1000000 + 0.5).alias("score"))
 
 
 @query(
@@ -215,28 +219,39 @@ def directory_stats(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), long.alias("long"), S.round_half_up(F.lit(100.0) * long / F.count("*")).cast("long").alias("percent"))
 
 
-@query("dead_exports", "WITH e AS (SELECT DISTINCT p_brand AS file, p_type AS name FROM part), u AS (SELECT DISTINCT p_brand AS dst, CASE WHEN p_size = 1 THEN '*' WHEN p_size = 2 THEN concat('* as ', p_type) ELSE p_type END AS name FROM part WHERE p_retailprice < 905) SELECT file, name FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE dst = file AND (u.name = e.name OR u.name = '*' OR u.name = concat('* as ', e.name)))")
+_FILES = "SELECT p_partkey, concat(p_brand, ' ', p_size) AS file, p_type AS name, p_size FROM part"
+
+
+@query("dead_exports", f"WITH p AS ({_FILES}), e AS (SELECT DISTINCT file, name FROM p), u AS (SELECT p.file AS dst, CASE WHEN n.p_size = 1 THEN '*' WHEN n.p_size = 2 THEN concat('* as ', n.name) ELSE n.name END AS name FROM p JOIN p n ON n.p_partkey = p.p_partkey + 1) SELECT file, name FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE dst = file AND (u.name = e.name OR u.name = '*' OR u.name = concat('* as ', e.name)))")
 def dead_exports(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    e = p.select(F.col("p_brand").alias("file"), F.col("p_type").alias("name")).distinct()
-    used = F.when(F.col("p_size") == 1, "*").when(F.col("p_size") == 2, F.concat(F.lit("* as "), "p_type")).otherwise(F.col("p_type"))
-    u = p.filter("p_retailprice < 905").select(F.col("p_brand").alias("dst"), used.alias("name")).distinct()
-    return graph.used_exports(e, u)
+    """Each part's file exports its type, and uses of it take the next part's."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_size").alias("file"), F.col("p_type").alias("name"), "p_size")
+    used = F.when(F.col("p_size") == 1, "*").when(F.col("p_size") == 2, F.concat(F.lit("* as "), "name")).otherwise(F.col("name"))
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), used.alias("name"))
+    u = p.select("p_partkey", F.col("file").alias("dst")).join(nxt, "p_partkey").select("dst", "name").distinct()
+    return graph.used_exports(p.select("file", "name").distinct(), u)
+
+
+_BOLD = "concat('/', unnest(regexp_extract_all(html, '<b>([A-Za-z]+)', 1)))"
 
 
-@query("symbol_lookup", f"WITH a AS (SELECT page_id, 'link' AS via FROM ({_LINKS}) WHERE target = '/the') SELECT page_id, via FROM a UNION ALL SELECT page_id, 'text' FROM pages WHERE html LIKE '%<b>The %' AND page_id NOT IN (SELECT page_id FROM a)")
+@query("symbol_lookup", f"WITH a AS ({_LINKS}), t AS (SELECT DISTINCT page_id, {_BOLD} AS target FROM pages) SELECT target, page_id, 'link' AS via FROM a UNION ALL SELECT target, page_id, 'text' FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = t.page_id AND a.target = t.target)")
 def symbol_lookup(spark, sf_dir):
-    a = links(spark, sf_dir).filter("target = '/the'").select("page_id").withColumn("via", F.lit("link"))
-    b = table(spark, sf_dir, "pages").filter(F.col("html").contains("<b>The ")).select("page_id").join(a, "page_id", "left_anti")
-    return a.unionByName(b.withColumn("via", F.lit("text")))
+    """Every symbol's pages: those that link it, and those that only name it in bold."""
+    a = links(spark, sf_dir)
+    bold = F.explode(F.regexp_extract_all("html", F.lit("<b>([A-Za-z]+)"), F.lit(1)))
+    t = table(spark, sf_dir, "pages").select("page_id", bold.alias("word")).select("page_id", F.concat(F.lit("/"), "word").alias("target")).distinct()
+    out = a.withColumn("via", F.lit("link")).unionByName(t.join(a, ["page_id", "target"], "left_anti").withColumn("via", F.lit("text")))
+    return out.select("target", "page_id", "via")
 
 
-_DAG = "SELECT p_partkey AS src, (p_partkey * 7 + 3) % 2000 AS dst FROM part WHERE (p_partkey * 7 + 3) % 2000 > p_partkey"
+_DAG = "SELECT p_partkey AS src, unnest(list_distinct([p_partkey // 2, p_partkey // 3])) AS dst FROM part WHERE p_partkey > 0"
 
 
 def dag(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 2000).alias("dst"))
-    return p.filter("dst > src")
+    """Each part needs those of half and of a third of its key; the first needs none."""
+    dst = F.array_distinct(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3")))
+    return table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.explode(dst).alias("dst"))
 
 
 @query("longest_chain", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_DAG})), r(node, depth) AS (SELECT src, 0 FROM e UNION SELECT dst, 0 FROM e UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, max(depth)::INT AS depth FROM r GROUP BY 1")
@@ -249,10 +264,10 @@ def fan_out(spark, sf_dir):
     return graph.fan_out(dag(spark, sf_dir))
 
 
-@query("reachability", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_DAG})), r(node, steps) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node) SELECT 1::BIGINT AS root, node, min(steps)::INT AS steps FROM r GROUP BY node")
+@query("reachability", f"WITH RECURSIVE e AS ({_DAG}), r(root, node, steps) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT r.root, e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, min(steps)::INT AS steps FROM r GROUP BY 1, 2")
 def reachability(spark, sf_dir):
-    d = dag(spark, sf_dir)
-    return graph.reach(d, spark.range(1, 2).select(F.col("id").alias("node")))
+    """What every part needs, in how many steps."""
+    return graph.reach(dag(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
 
 
 _RING = "SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 2 = 0"
@@ -260,19 +275,20 @@ _RING = "SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM natio
 
 @query(
     "graph_cycles",
-    f"""WITH RECURSIVE e AS ({_RING}), r(path, last) AS (SELECT [src, dst], dst FROM e WHERE dst > src UNION ALL SELECT list_append(path, dst), dst FROM r JOIN e ON e.src = r.last WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < 8)
+    f"""WITH RECURSIVE e AS ({_RING}), r(path, last) AS (SELECT [src, dst], dst FROM e WHERE dst > src UNION ALL SELECT list_append(path, dst), dst FROM r JOIN e ON e.src = r.last WHERE dst > path[1] AND NOT list_contains(path, dst))
         SELECT path, len(path)::INT AS length FROM r JOIN e ON e.src = r.last AND e.dst = path[1] UNION ALL SELECT [src], 1 FROM e WHERE src = dst""",
 )
 def graph_cycles(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
     e = n.select("src", ((F.col("src") * 3 + 1) % 25).alias("dst")).union(n.filter("src % 2 = 0").select("src", ((F.col("src") + 5) % 25).alias("dst")))
-    return graph.cycles(e, 8)
+    return graph.cycles(e)
 
 
-@query("one_hop_consumers", f"WITH e AS ({_DAG}), s AS (SELECT 7::BIGINT AS node UNION SELECT 700) SELECT node FROM s UNION SELECT src FROM e JOIN s ON e.dst = s.node")
+@query("one_hop_consumers", f"WITH e AS ({_DAG}), s AS (SELECT p_brand AS change, p_partkey AS node FROM part) SELECT change, node FROM s UNION SELECT s.change, src FROM e JOIN s ON e.dst = s.node")
 def one_hop_consumers(spark, sf_dir):
-    s = spark.createDataFrame([(7,), (700,)], "node long")
-    return s.union(dag(spark, sf_dir).join(s, F.col("dst") == F.col("node"), "left_semi").select("src")).distinct()
+    """Each brand's parts as one change: what changes, and what needs any of it."""
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("change"), F.col("p_partkey").alias("node"))
+    return s.union(dag(spark, sf_dir).join(s, F.col("dst") == F.col("node")).select("change", "src")).distinct()
 
 
 @query("contains_join", "WITH t AS (SELECT n_nationkey AS k, lower(n_name) AS part FROM nation), p AS (SELECT s_suppkey, lower(concat(n_name, ' ', r_name)) AS text FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey) SELECT s_suppkey, arg_min(part, k) AS part FROM p JOIN t ON contains(p.text, t.part) GROUP BY 1")
@@ -289,10 +305,11 @@ def template_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.truncate_text(F.col("text"), 80).alias("short"))
 
 
-@query("content_hash_cache", "WITH c AS (SELECT sha256(text) AS sha FROM documents WHERE source = 'src1') SELECT doc_id, sha256(text) AS sha FROM documents WHERE sha256(text) NOT IN (SELECT sha FROM c)")
+@query("content_hash_cache", "WITH h AS (SELECT doc_id, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) SELECT doc_id, sha, n - 1 AS hits FROM h WHERE k = 1")
 def content_hash_cache(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha"))
-    return d.join(d.filter("source = 'src1'").select("sha"), "sha", "left_anti").select("doc_id", "sha")
+    """Documents whose content isn't in the cache when their turn comes, and how often the cache serves it after."""
+    sha = F.sha2("text", 256).alias("sha")
+    return table(spark, sf_dir, "documents").groupBy(sha).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("hits")).select("doc_id", "sha", "hits")
 
 
 @query("directory_hash", "SELECT source, sha256(string_agg(sha, ':' ORDER BY sha)) AS hash FROM (SELECT source, sha256(text) AS sha FROM documents) GROUP BY 1")

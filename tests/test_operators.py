@@ -121,3 +121,20 @@ def test_cycles_in_a_task_and_by_joins_are_the_same(spark):
         assert small == joined == want
     ring = [(k, (k + 1) % 5000) for k in range(5000)]
     assert [len(p) for p in graph.simple_cycles(ring)] == [5000]
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    make = lambda n: [(k, sorted({w for w in words if rng.random() < rng.choice([0.1, 0.4, 0.9])})) for k in range(n)]
+    a, b = [*make(40), (100, []), (101, ["w0"])], [*make(40), (100, []), (101, ["w0"]), (102, words)]
+    for least in (0.2, 0.5, 1.0):
+        got = matching.overlap_join(spark.createDataFrame(a, "l int, w array<string>"), spark.createDataFrame(b, "r int, w array<string>"), "l", "r", "w", least)
+        share = {(i, j): len(set(x) & set(y)) / max(len(x), len(y)) for i, x in a for j, y in b if x or y}
+        assert {(r.l, r.r): round(r.overlap, 9) for r in got.collect()} == {k: round(v, 9) for k, v in share.items() if v >= least}
+
+
+def test_equal_rows_each_get_their_first_part(spark):
+    left = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, None), (3, "x")], "k int, text string")
+    right = spark.createDataFrame([("b", 2), ("a", 1)], "part string, rank int")
+    assert sorted(facts.first_containing(left, right, "text", "part", "rank").collect()) == [(1, "ab", "a"), (1, "ab", "a")]
