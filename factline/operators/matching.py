@@ -77,6 +77,10 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     only those are joined, never the commonest ones; the pairs found are then compared outright. Empty lists have no pairs."""
     need = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(float(least)) - F.lit(1e-9)))
     flat = lambda df, i: df.select(F.col(i).alias("__id"), F.size(words).alias("__n"), F.explode(words).alias("__t"))
+    # Lists too short or too long for every left one have no partner, and aren't taken apart.
+    low, high = left.filter(F.size(words) > 0).agg(F.min(F.size(words)), F.max(F.size(words))).first()
+    n = F.size(words)
+    right = right.filter((n >= need(F.lit(low))) & (F.lit(high) >= need(n)))
     l, r = flat(left, left_id), flat(right, right_id)
     seen = l.select("__t").unionByName(r.select("__t")).groupBy("__t").agg(F.count("*").alias("__f"))
 
