@@ -34,6 +34,8 @@ COMMON, PRIOR = 0.05, 1000
 WEAK, SHORT = 0.25, 16
 #: Shorter items, of whose words any text has a few in order, must be there word for word.
 LEAST_WORDS = 5
+#: Rows that one sum adds up at a time.
+PIECE = 64
 #: Bytes of items that are searched for in one go; more take several.
 ITEM_BYTES = 8 << 20
 
@@ -130,10 +132,11 @@ def document_counts(known: DataFrame, n_vocab: int) -> tuple[np.ndarray, np.ndar
         df, energy, n = np.zeros(n_vocab, np.int64), np.zeros(n_vocab, np.int64), 0
         for _, doc, pos, at, docs in _each(batches):
             n += docs
-            df += np.bincount(np.unique(doc * n_vocab + at) % n_vocab, minlength=n_vocab)
+            each = np.sort(doc * n_vocab + at)
+            df += np.bincount(each[np.flatnonzero(np.diff(each, prepend=-1))] % n_vocab, minlength=n_vocab)
             _, cell, tf = _passages(doc, pos, at, n_vocab)
             energy += np.bincount(cell, weights=tf * tf, minlength=n_vocab).astype(np.int64)
-            del doc, pos, at, cell, tf
+            del doc, pos, at, each, cell, tf
             K.trim()
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *df[used].tolist()], pa.int64()), pa.array([0, *energy[used].tolist()], pa.int64())], names=["word", "df", "energy"])
@@ -159,6 +162,29 @@ def _passages(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, n_vocab: int) ->
     return key // n_vocab, key % n_vocab, tf
 
 
+def sums(value: np.ndarray, rows: np.ndarray, head: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """The sums of ``value[rows]``, each row ``times`` its number, from every head up to the next: a step
+    adds one row to all sums that have as many, several times faster than ``reduceat``; long ones go in pieces."""
+    size = np.diff(np.r_[head, len(rows)])
+    if len(head) and size.max() > PIECE:
+        n = -(-size // PIECE)
+        first = np.cumsum(n) - n
+        begin = np.repeat(head, n) + PIECE * (np.arange(int(n.sum())) - np.repeat(first, n))
+        return sums(sums(value, rows, begin, times), np.arange(len(begin)), first)
+    order = np.argsort(-size, kind="stable")
+    begin, size = head[order], size[order]
+    out = np.zeros((len(head), value.shape[1]), value.dtype)
+    for k in range(int(size[0]) if len(size) else 0):
+        live = begin[: np.searchsorted(-size, -k)] + k
+        x = value[rows[live]]
+        if times is not None:
+            x *= times[live, None]
+        out[: len(live)] += x
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def gram_times(known: DataFrame, weight: np.ndarray, q: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """A'A q, where A holds the weighted passages of all documents and the items:
     each partition adds up its own; blocks of words are then added up, first over groups of
@@ -171,13 +197,14 @@ def gram_times(known: DataFrame, weight: np.ndarray, q: np.ndarray, items: list[
         if not len(seg):
             return np.zeros((n_vocab, rank), np.float32)
         head = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        aq = np.add.reduceat(wq[word] * tf[:, None].astype(np.float32), head)
+        tf = tf.astype(np.float32)
+        aq = sums(wq, word, head, tf)
         mine = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(seg)]))
         order = np.argsort(word, kind="stable")
         w = word[order]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         out = np.zeros((n_vocab, rank), np.float32)
-        out[w[first]] = np.add.reduceat(aq[mine[order]] * tf[order, None].astype(np.float32), first) * weight[w[first], None].astype(np.float32)
+        out[w[first]] = sums(aq, mine[order], first, tf[order]) * weight[w[first], None].astype(np.float32)
         return out
 
     def multiply(batches):
@@ -301,8 +328,8 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
         by[size] = own, (vec / np.maximum(norm, 1e-30)).T.astype(np.float32), mass
 
     def candidates(doc, pos, at):
-        """(document, first word, words, item, cosine) of windows three
-        half-lengths wide, one beginning every half-length."""
+        """Documents, first words, items and cosines of windows three half-lengths
+        wide, one beginning every half-length, and how many words that is."""
         on = rare[at]
         d, p, a = doc[on], pos[on], at[on]
         if not len(a):
@@ -321,28 +348,66 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
             slot[where] = np.arange(len(head))
             m = np.r_[np.add.reduceat(mass_of[a], head), 0.0]
             # Windows begin up to two cells before a document too, so that each cell is in three of them.
-            starts = np.unique(np.concatenate([where, where - 1, where - 2]))
+            begins = np.zeros(n, bool)
+            for k in range(3):
+                begins[where - k] = True
+            starts = np.flatnonzero(begins)
             # What the exact checks look at: the window and a margin, which is less than a cell, on either side.
             total = sum(m[slot[starts + k]] for k in range(-1, 4))
             starts = starts[total >= mass * (1 - 1e-9)]
             for lo in range(0, len(starts), 20_000):
                 s = starts[lo : lo + 20_000]
-                cells = np.unique(np.concatenate([slot[s], slot[s + 1], slot[s + 2]]))
-                cells = cells[cells < len(head)]
+                used = np.zeros(len(head) + 1, bool)
+                for k in range(3):
+                    used[slot[s + k]] = True
+                cells = np.flatnonzero(used[:-1])
                 if not len(cells):
                     continue
                 end = np.r_[head, len(a)]
                 size_of = end[cells + 1] - end[cells]
                 tok = np.repeat(end[cells] - np.r_[0, np.cumsum(size_of)[:-1]], size_of) + np.arange(int(size_of.sum()))
                 vec = np.zeros((len(cells) + 1, word_vec.shape[1]), np.float32)
-                vec[:-1] = np.add.reduceat(word_vec[a[tok]], np.r_[0, np.cumsum(size_of)[:-1]])
+                vec[:-1] = sums(word_vec, a[tok], np.r_[0, np.cumsum(size_of)[:-1]])
                 local = np.full(len(head) + 1, len(cells))
                 local[cells] = np.arange(len(cells))
                 v = vec[local[slot[s]]] + vec[local[slot[s + 1]]] + vec[local[slot[s + 2]]]
                 cos = (v @ unit) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
                 x, y = np.nonzero(cos >= COSINE)
                 owner = np.searchsorted(base, s[x], "right") - 1
-                yield from zip(owner.tolist(), ((s[x] - base[owner] - 2) * half).tolist(), [3 * half] * len(x), own[y].tolist(), cos[x, y].tolist())
+                yield owner, (s[x] - base[owner] - 2) * half, own[y], cos[x, y], 3 * half
+
+    number = np.full(len(weight), -1)
+
+    def likely(item, lo, hi, at):
+        """Which of the places ``lo`` to ``hi`` hold as many of an item's words, in any
+        order, as a leak must hold in its own: a bound on :func:`lcs`."""
+        w, times = np.unique(items.words[item], return_counts=True)
+        number[w] = np.arange(len(w))
+        size = hi - lo
+        tok = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        of = number[at[tok]]
+        on = of >= 0
+        n = np.bincount((np.repeat(np.arange(len(lo)), size) * len(w) + of)[on], minlength=len(lo) * len(w))
+        number[w] = -1
+        return np.minimum(n.reshape(len(lo), len(w)), times).sum(1) / len(items.words[item]) >= LCS
+
+    def checked(doc, pos, at):
+        """(document, item, cosine, first and last place) of the candidates that may pass :func:`verdict`."""
+        stride = int(pos.max()) + 1 if len(pos) else 1
+        key = doc * stride + pos
+        for d, first, item, cos, width in candidates(doc, pos, at):
+            # A quarter more on either side: an item may lie across the edge.
+            lo = np.searchsorted(key, d * stride + np.maximum(first - width // 4, 0))
+            hi = np.searchsorted(key, d * stride + np.minimum(first + width + width // 4, stride))
+            order = np.argsort(item, kind="stable")
+            cut = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
+            block = max(1, (1 << 20) // (2 * width))
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                for k in range(a, z, block):
+                    x = order[k : min(k + block, z)]
+                    i = int(item[x[0]])
+                    x = x[likely(i, lo[x], hi[x], at)]
+                    yield from zip(d[x].tolist(), [i] * len(x), cos[x].tolist(), lo[x].tolist(), hi[x].tolist())
 
     size_of_item = {int(i): size for size, own in classes(items.words).items() for i in own}
 
@@ -395,11 +460,8 @@ def _search(items: Items, weight: np.ndarray, space: np.ndarray, df: np.ndarray)
         for ids, doc, pos, at, _ in _each(batches):
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             begin = np.searchsorted(doc, np.arange(int(doc[-1]) + 2)) if len(doc) else []
-            for d, first, width, item, cos in candidates(doc, pos, at):
-                a, z = begin[d], begin[d + 1]
-                # A quarter more on either side: an item may lie across the edge.
-                lo, hi = np.searchsorted(pos[a:z], (first - width // 4, first + width + width // 4))
-                got = verdict(items.words[item], items.answers[item], rare, at[a + lo : a + hi])
+            for d, item, cos, lo, hi in checked(doc, pos, at):
+                got = verdict(items.words[item], items.answers[item], rare, at[lo:hi])
                 if got and (got[0], cos) > best.get((d, item), (0, 0, 0))[::2]:
                     best[d, item] = (got[0], got[1], cos)
             for d, first, width, item, mark in by_words(doc, pos, at):
