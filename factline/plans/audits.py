@@ -169,7 +169,9 @@ _MOCKS, _mocks = over("customer", file="c_custkey % 100", scope="CASE WHEN c_nat
 
 @query("scoped_mocks", f"SELECT t.test, count(*) AS n, sum(m.target)::BIGINT AS targets FROM {_TESTS} t JOIN {_MOCKS} m ON m.file = t.file AND (m.scope IS NULL OR m.scope = t.scope) GROUP BY 1")
 def scoped_mocks(spark, sf_dir):
-    return A.scoped(_tests(spark, sf_dir), _mocks(spark, sf_dir), ["file"], "scope").groupBy("test").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+    """Mocks are summed by file and scope before they meet the tests, so rows grow with either table, not with their product."""
+    sums = _mocks(spark, sf_dir).groupBy("file", "scope").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+    return A.scoped(_tests(spark, sf_dir), sums, ["file"], "scope").groupBy("test").agg(F.sum("n").alias("n"), F.sum("targets").alias("targets"))
 
 
 _JSX, _jsx = over("lineitem", file="l_suppkey", component="l_partkey % 5", kind="CASE l_linenumber WHEN 1 THEN 'JSX_RETURN_BLOCK' WHEN 2 THEN 'JSX_TERNARY_CHAIN' WHEN 3 THEN 'JSX_IIFE' WHEN 4 THEN 'JSX_INLINE_HANDLER' ELSE 'JSX_INLINE_STYLE' END", lines="cast(l_quantity as int)", depth="CASE WHEN l_tax > 0.02 THEN l_orderkey % 5 END", statements="l_orderkey % 7")

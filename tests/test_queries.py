@@ -55,3 +55,8 @@ def test_scans_read_only_what_is_asked_for(spark):
     plan = registry.QUERIES["hook_semi_join"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,45.0)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_mocks_are_summed_before_tests_join_them(spark):
+    plan = registry.QUERIES["scoped_mocks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") > plan.count("Join Inner") == 2
