@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factline.functions.scalars import jaccard
+from factline.ship import ship
 
 #: Least similarity of a pair, and the head start of pairs of equal names.
 LEAST, HEAD_START = 0.6, 0.05
@@ -70,6 +73,68 @@ def kth_occurrence(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return left.withColumn("k", k(left_order)).join(right.withColumn("k", k(right_order)), [*keys, "k"])
 
 
+#: Rows of either side that one task compares at once, and pairs that a task is given.
+BLOCK, PAIRS = 2048, 1 << 22
+
+
+def jaccard_pairs(rows: DataFrame, by: Sequence[str], key: str, words: str, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs ``a`` < ``b`` of keys (integers) within a group ``by`` whose distinct ``words`` (arrays of strings without nulls) have a
+    Jaccard similarity of ``least`` (over 0) or more; 1 if both are empty, none for null keys, groups or words.
+
+    The pairs themselves grow with the square of a group. Large groups are cut into blocks and each two blocks meet in one place, which holds
+    no more than they and their pairs; equal sets are compared once. Tasks are as many as the pairs that there could be ask for, however few bytes go in."""
+    ship(rows.sparkSession)
+    rows = rows.select(*by, F.col(key).cast("long").alias("__key"), F.col(words).alias("__words")).dropna()
+    many = rows.groupBy(*by).count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
+    group = W.partitionBy(*by)
+    m = F.ceil(F.count("*").over(group) / F.lit(block)).cast("int")
+    rows = rows.withColumns({"__m": m, "__k": F.floor((F.row_number().over(group.orderBy("__key")) - 1) / F.lit(block)).cast("int")})
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
+    rows = rows.select(*by, F.least("__k", "__o").alias("__i"), F.greatest("__k", "__o").alias("__j"), "__k", "__key", "__words")
+    at = [*by, "__i", "__j"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table["__i"][0].as_py(), table["__j"][0].as_py()
+        k, keys = table["__k"].to_numpy(), table["__key"].to_numpy()
+        sets, of = {}, np.empty(len(keys), np.int64)
+        for n, w in enumerate(table["__words"].to_pylist()):
+            of[n] = sets.setdefault(frozenset(w), len(sets))
+        sizes, lists = np.array([len(x) for x in sets]), {}
+        for n, x in enumerate(sets):
+            for w in x:
+                lists.setdefault(w, []).append(n)
+        holds = {w: np.array(x) for w, x in lists.items()}
+        order = np.lexsort((keys, of))
+        mine, theirs = order[k[order] == i], order[k[order] == j]
+        first = np.searchsorted(of[mine], np.arange(len(sets) + 1))
+        second = np.searchsorted(of[theirs], np.arange(len(sets) + 1))
+        out = ([], [], [])
+        for n, x in enumerate(sets):
+            own = keys[mine[first[n] : first[n + 1]]]
+            if not len(own):
+                continue
+            common = np.bincount(np.concatenate([holds[w] for w in x]), minlength=len(sets)) if x else np.zeros(len(sets), np.int64)
+            union = sizes + len(x) - common
+            share = np.where(union > 0, common / np.maximum(union, 1), 1.0)
+            good = np.flatnonzero(share >= least)
+            runs = second[good + 1] - second[good]
+            ends = np.cumsum(runs)
+            if not len(ends) or not ends[-1]:
+                continue
+            at = theirs[np.arange(ends[-1]) + np.repeat(second[good] - (ends - runs), runs)]
+            a, b = np.repeat(own, len(at)), np.tile(keys[at], len(own))
+            score = np.tile(np.repeat(share[good], runs), len(own))
+            keep = a < b if i == j else a != b
+            out[0].append(np.minimum(a, b)[keep])
+            out[1].append(np.maximum(a, b)[keep])
+            out[2].append(score[keep])
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        return pa.table({"a": join(out[0], np.int64), "b": join(out[1], np.int64), "jaccard": join(out[2], np.float64)})
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, min(100_000, round(many / 2 / PAIRS)))
+    return rows.repartition(tasks, *at).groupBy(*at).applyInArrow(compare, "a long, b long, jaccard double")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
     """Pairs whose distinct ``words`` (arrays without nulls; ids are unique) overlap by ``least`` or more, as a share of the longer list.
 

@@ -101,10 +101,8 @@ _TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_rep
         SELECT x.k AS a, y.k AS b, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t))) AS jaccard FROM t x JOIN t y ON x.b = y.b AND x.s = y.s AND x.k < y.k WHERE len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t))) >= 0.3""",
 )
 def jaccard_pairs(spark, sf_dir):
-    t = table(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").alias("a"), S.name_tokens(F.col("p_name")).alias("s"))
-    j = S.jaccard(F.col("s"), F.col("t"))
-    u = t.select("p_brand", "p_size", F.col("a").alias("b"), F.col("s").alias("t"))
-    return t.join(u, ["p_brand", "p_size"]).filter("a < b").select("a", "b", j.alias("jaccard")).filter("jaccard >= 0.3D")
+    t = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", S.name_tokens(F.col("p_name")).alias("words"))
+    return matching.jaccard_pairs(t, ["p_brand", "p_size"], "p_partkey", "words", 0.3)
 
 
 @query(

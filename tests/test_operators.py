@@ -138,3 +138,17 @@ def test_equal_rows_each_get_their_first_part(spark):
     left = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, None), (3, "x")], "k int, text string")
     right = spark.createDataFrame([("b", 2), ("a", 1)], "part string, rank int")
     assert sorted(facts.first_containing(left, right, "text", "part", "rank").collect()) == [(1, "ab", "a"), (1, "ab", "a")]
+
+
+def test_jaccard_pairs_in_blocks_equal_all_pairs(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(9)]
+    rows = [(rng.choice("gh"), k // 2, [w for w in words if rng.random() < rng.choice([0.0, 0.2, 0.6])]) for k in range(60)]
+    df = spark.createDataFrame([*rows, ("g", 99, None), (None, 98, ["w0"]), (None, 97, ["w0"]), ("h", None, ["w0"])], "g string, k int, w array<string>")
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+    want = sorted((k, l, share(x, y)) for g, k, x in rows for h, l, y in rows if g == h and k < l and share(x, y) >= 0.3)
+    for block in (3, 7, 100):
+        got = matching.jaccard_pairs(df, ["g"], "k", "w", 0.3, block)
+        assert sorted(map(tuple, got.collect())) == want
+    # A small table may have many pairs: all cores get some of them.
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
