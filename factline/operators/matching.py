@@ -84,7 +84,9 @@ def jaccard_pairs(rows: DataFrame, by: Sequence[str], key: str, words: str, leas
     The pairs themselves grow with the square of a group. Large groups are cut into blocks and each two blocks meet in one place, which holds
     no more than they and their pairs; equal sets are compared once. Tasks are as many as the pairs that there could be ask for, however few bytes go in."""
     ship(rows.sparkSession)
-    rows = rows.select(*by, F.col(key).cast("long").alias("__key"), F.col(words).alias("__words")).dropna()
+    rows = rows.select(*by, F.col(key).cast("long").alias("__key"), F.col(words).alias("__words"))
+    for c in rows.columns:
+        rows = rows.filter(F.col(c).isNotNull())
     many = rows.groupBy(*by).count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
     group = W.partitionBy(*by)
     m = F.ceil(F.count("*").over(group) / F.lit(block)).cast("int")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from factline.functions import scalars as S
-from factline.operators import facts, graph, matching, windows
+from factline.operators import facts, graph, matching, nearest, windows
 from factline.plans.registry import query, table
 
 LINES_SQL = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
@@ -127,21 +129,21 @@ def _halves(spark, sf_dir):
     return b, a
 
 
-def _pairs(spark, sf_dir):
+def _matched(spark, sf_dir, choose, **more):
+    """Pairs of a user and kind score 1 less a hundredth of the difference of their values, and 0.6 at least."""
     b, a = _halves(spark, sf_dir)
-    score = F.lit(1.0) - F.abs(F.col("vb") - F.col("va")) / F.lit(100.0)
-    return b.join(a, ["user_id", "event_type"]).select("user_id", "event_type", "b", "a", score.alias("score"), (F.floor("vb") == F.floor("va")).alias("same")).filter("score >= 0.6D")
+    return nearest.match(b, a, ["user_id", "event_type"], "b", "a", "vb", "va", partial(choose, scale=100.0, least=0.6, **more))
 
 
 @query("greedy_match")
 def greedy_match(spark, sf_dir):
     """Best first and one to one, within a user and kind."""
-    return matching.greedy(_pairs(spark, sf_dir), ["user_id", "event_type"], "b", "a", matching.match_order("score", "same", "b", "a")).select("b", "a", "score")
+    return _matched(spark, sf_dir, nearest.greedy, head_start=matching.HEAD_START)
 
 
 @query("sequential_match")
 def sequential_match(spark, sf_dir):
-    return matching.sequential(_pairs(spark, sf_dir), ["user_id", "event_type"], "b", "a", "score").select("b", "a", "score")
+    return _matched(spark, sf_dir, nearest.sequential)
 
 
 @query("kth_occurrence_match", f"{_HALVES} SELECT x.event_id AS b, y.event_id AS a, x.k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)::INT AS k FROM b) x JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)::INT AS k FROM a) y ON x.user_id = y.user_id AND x.event_type = y.event_type AND x.k = y.k")
