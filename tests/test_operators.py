@@ -152,3 +152,35 @@ def test_jaccard_pairs_in_blocks_equal_all_pairs(spark):
         assert sorted(map(tuple, got.collect())) == want
     # A small table may have many pairs: all cores get some of them.
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_reach_in_tasks_and_by_joins_are_the_same(spark, kind):
+    rng = random.Random(11)
+    edges = [(rng.randrange(-5, 40), rng.randrange(-5, 40) * 3) for _ in range(70)] + [(1, 1), (2, 6), (6, 2)] * 2
+    roots = [(k,) for k in [*range(-6, 45), 2, 1000, None, None]]
+    e, start = spark.createDataFrame(edges, f"src {kind}, dst {kind}"), spark.createDataFrame(roots, f"node {kind}")
+    for most in (None, 0, 1, 3):
+        held, joined = graph.reach(e, start, most), graph.reach(e, start, most, held=0)
+        assert held.dtypes == joined.dtypes == [("root", "bigint" if kind == "long" else "int"), ("node", "bigint" if kind == "long" else "int"), ("steps", "int")]
+        assert sorted(map(repr, held.collect())) == sorted(map(repr, joined.collect()))
+    # No round joins what was found before.
+    assert "Join" not in graph.reach(e, start)._jdf.queryExecution().optimizedPlan().toString()
+    empty = spark.createDataFrame([], f"src {kind}, dst {kind}")
+    assert sorted(graph.reach(empty, start.dropna().limit(2)).collect()) == sorted(graph.reach(empty, start.dropna().limit(2), held=0).collect())
+
+
+def test_reach_takes_more_roots_than_it_looks_at_together(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "AT_ONCE", 50)
+    n = np.arange(1, 3000)
+    g = graph._Graph(np.concatenate([n, n]), np.concatenate([n // 2, n // 3]))
+    got = {(r, x): s for part in g.reach(np.arange(4000), None) for r, x, s in zip(*(c.tolist() for c in part))}
+    want = {}
+    for r in range(4000):
+        front, k = {r}, 0
+        while front:
+            want |= {(r, x): k for x in front}
+            front, k = {y for x in front if 0 < x < 3000 for y in (x // 2, x // 3) if (r, y) not in want}, k + 1
+    assert got == want
