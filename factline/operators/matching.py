@@ -7,9 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factline.functions.scalars import jaccard
 from factline.ship import ship
@@ -137,11 +139,19 @@ def jaccard_pairs(rows: DataFrame, by: Sequence[str], key: str, words: str, leas
     return rows.repartition(tasks, *at).groupBy(*at).applyInArrow(compare, "a long, b long, jaccard double")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
+#: Words, and characters of words, of a left side that every task may hold.
+HELD_WORDS, HELD_CHARACTERS = 1 << 20, 1 << 24
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float, held: int = HELD_WORDS) -> DataFrame:
     """Pairs whose distinct ``words`` (arrays without nulls; ids are unique) overlap by ``least`` or more, as a share of the longer list.
 
-    Two lists with enough in common share one of the rarest words of each, all but its last ``least`` n - 1, so
+    A left side of ``held`` words or fewer (they are counted) is held by every task, which counts what right lists share with it as they pass:
+    none of the right side moves. A larger one is joined. Two lists with enough in common share one of the rarest words of each, all but its last ``least`` n - 1, so
     only those are joined, never the commonest ones; the pairs found are then compared outright. Empty lists have no pairs."""
+    n, characters = left.agg(F.sum(F.size(words)), F.sum(F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x + F.length(w)))).first()
+    if (n or 0) <= held and (characters or 0) <= HELD_CHARACTERS:
+        return _overlap_held(left, right, left_id, right_id, words, least)
     need = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(float(least)) - F.lit(1e-9)))
     flat = lambda df, i: df.select(F.col(i).alias("__id"), F.size(words).alias("__n"), F.explode(words).alias("__t"))
     # Lists too short or too long for every left one have no partner, and aren't taken apart.
@@ -164,6 +174,57 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return pairs.select(left_id, right_id, share.alias("overlap")).filter(F.col("overlap") >= F.lit(float(least)))
 
 
+#: Words of right lists that meet left ones, and cells of right by left rows, that a task counts at once.
+MEETINGS, CELLS = 1 << 22, 1 << 22
+
+
+def _overlap_held(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
+    """Every right list's words are looked up among the left side's, and its meetings with each left list counted."""
+    ship(left.sparkSession)
+    mine = left.select(F.col(left_id).alias("i"), F.col(words).alias("w")).filter(F.size("w") > 0).toArrow()
+    ids, lists = mine["i"].combine_chunks(), mine["w"].combine_chunks()
+    flat = lists.flatten()
+    vocabulary = flat.unique()
+    at, of = pc.index_in(flat, vocabulary).to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    of = of[np.argsort(at, kind="stable")]  # the left lists of each word
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(vocabulary)))])
+    sizes = pc.list_value_length(lists).to_numpy()
+    sent = left.sparkSession.sparkContext.broadcast((ids, vocabulary, of, first, sizes))
+    out = T.StructType([left.select(left_id).schema[0], right.select(right_id).schema[0], T.StructField("overlap", T.DoubleType())])
+
+    def run(batches):
+        ids, vocabulary, of, first, sizes = sent.value
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())
+            theirs, lists = b.column(0), b.column(1)
+            long = pc.list_value_length(lists).to_numpy()
+            hit = pc.index_in(lists.flatten(), vocabulary)
+            known = hit.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(long)), long)[known]
+            hit = hit.drop_null().to_numpy()
+            many = first[hit + 1] - first[hit]
+            # Parts of whole right lists, of few enough meetings and rows.
+            meetings = np.concatenate([[0], np.cumsum(np.bincount(row, weights=many, minlength=len(long)).astype(np.int64))])
+            start = 0
+            while start < len(long):
+                end = int(np.searchsorted(meetings, meetings[start] + MEETINGS, side="right")) - 1
+                end = min(max(end, start + 1), start + max(1, CELLS // max(1, len(sizes))), len(long))
+                lo, hi = np.searchsorted(row, [start, end])
+                m = many[lo:hi]
+                ends = np.cumsum(m)
+                if len(ends) and ends[-1]:
+                    met = of[np.arange(ends[-1]) + np.repeat(first[hit[lo:hi]] - (ends - m), m)]
+                    cells = np.bincount(np.repeat(row[lo:hi] - start, m) * len(sizes) + met, minlength=(end - start) * len(sizes))
+                    found = np.flatnonzero(cells)
+                    r, l = found // len(sizes) + start, found % len(sizes)
+                    share = cells[found] / np.maximum(sizes[l], long[r])
+                    good = share >= least
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(l[good])), theirs.take(pa.array(r[good])), pa.array(share[good])], names=out.names)
+                start = end
+
+    return right.select(right_id, words).mapInArrow(run, out)
+
+
 def unique_suffix(names: DataFrame, entries: DataFrame, name: str, entry: str) -> DataFrame:
     """Each name's entry: the equal one, else the only one that ends with a dot and the name's last part."""
     tail = lambda c: F.regexp_extract(F.col(c), r"([^.]+)$", 1)

@@ -184,3 +184,19 @@ def test_reach_takes_more_roots_than_it_looks_at_together(spark, monkeypatch):
             want |= {(r, x): k for x in front}
             front, k = {y for x in front if 0 < x < 3000 for y in (x // 2, x // 3) if (r, y) not in want}, k + 1
     assert got == want
+
+
+def test_overlap_join_held_equals_the_join(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    make = lambda n: [(f"i{k}", [w for w in words if rng.random() < rng.choice([0.1, 0.4, 0.9])]) for k in range(n)] + [("none", None), ("empty", [])]
+    a, b = spark.createDataFrame(make(40), "l string, w array<string>"), spark.createDataFrame([*make(50), ("new", ["x"])], "r string, w array<string>")
+    for meetings, cells in ((1 << 22, 1 << 22), (40, 1 << 22), (1 << 22, 100), (1, 1)):
+        monkeypatch.setattr(matching, "MEETINGS", meetings)
+        monkeypatch.setattr(matching, "CELLS", cells)
+        held, joined = (sorted(map(tuple, matching.overlap_join(a, b, "l", "r", "w", 0.4, **more).collect())) for more in ({}, {"held": 0}))
+        assert held == joined and len(held) > 100
+    nothing = matching.overlap_join(a.limit(0), b, "l", "r", "w", 0.4)
+    assert nothing.collect() == [] and nothing.dtypes == [("l", "string"), ("r", "string"), ("overlap", "double")]
+    # Nothing of the right side is shuffled.
+    assert "Exchange" not in matching.overlap_join(a, b, "l", "r", "w", 0.4)._jdf.queryExecution().executedPlan().toString()
